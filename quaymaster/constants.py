@@ -7,6 +7,8 @@ SPACE_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 SPACE_CLASS = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# The same spaces for use inside a character class (plain \s is ASCII only).
+SPACES_IN_CLASS = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 # --- fixed values: words that mean "no value" ---
 PROFILE_NULLS = ("", "null", "none", "n/a", "na", "nil", "-", "undefined", "nan")
@@ -37,12 +39,12 @@ URL_START = r"(?i)^https?://.+"
 # --- fixed values: inferred type tests, in the order they are tried ---
 TYPE_TESTS = (
     ("uuid", UUID_ANY),
-    ("email", r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"),
+    ("email", rf"^[^{SPACES_IN_CLASS}@]+@[^{SPACES_IN_CLASS}@]+\.[^{SPACES_IN_CLASS}@]+\z"),
     ("url", URL_START),
     ("timestamp", r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}[T ]\d{1,2}:\d{1,2}"),
     ("date", r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}\z"),
     ("boolean", BOOLEAN_WORD),
-    ("phone", r"^[+\d][\d\s().-]{6,}\z"),
+    ("phone", rf"^[+\d][\d{SPACES_IN_CLASS}().-]{{6,}}\z"),
     ("currency", rf"(?i)^(?:[{CURRENCY_SYMBOLS}]\s?|(?:{CURRENCY_CODES})\s+)[\d,]+\.?\d*\z"),
     ("integer", r"^-?\d{1,18}\z"),
     ("number", r"^-?\d{0,18}\.\d+\z"),
@@ -65,7 +67,7 @@ LONG_TEXT_LENGTH = 200
 MULTILINE_PATTERN = "multiline"
 JSON_PATTERN = "json-content"
 ALL_NULL_PATTERN = "all_null"
-SPECIAL_CHAR = r"[^\w\s.,@_\-/]"
+SPECIAL_CHAR = rf"[^\w{SPACES_IN_CLASS}.,@_\-/]"
 
 # --- fixed values: profile limits ---
 NUMERIC_SHARE = 0.6

@@ -47,6 +47,39 @@ def indexed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty_orders(spark, sf_dir).withColumnRenamed("k", "row_idx")
 
 
+# Messy text form of ``events``: one column per inferred type.
+_UUID = "substr(h,1,8)||'-'||substr(h,9,4)||'-'||substr(h,13,4)||'-'||substr(h,17,4)||'-'||substr(h,21,12)"
+
+
+def _event_columns(text: str, div: str, stamp: str) -> list[str]:
+    return [
+        "event_id", "event_type", f"{_UUID} AS uuid_txt",
+        f"event_type||'.'||cast(user_id AS {text})||'@mail.example' AS email_txt", f"{stamp} AS ts_txt",
+        f"'+1 (555) '||lpad(cast(user_id AS {text}), 4, '0') AS phone_txt",
+        f"CASE event_id%4 WHEN 0 THEN 'USD '||cast(cents {div} 100 AS {text}) "
+        f"WHEN 1 THEN '€ '||cast(cents {div} 100 AS {text}) WHEN 2 THEN 'nil' "
+        f"ELSE '$'||cast(cents {div} 100 AS {text}) END AS money_txt",
+        f"CASE WHEN event_id%997 = 5 THEN '98765.5' WHEN event_id%11 = 0 THEN 'NaN' "
+        f"ELSE cast(cents {div} 100 AS {text})||'.'||lpad(cast(cents%100 AS {text}), 2, '0') END AS num_txt",
+        f"cast(1700000000 + event_id AS {text}) AS epoch_txt", "props",
+        f"CASE event_id%3 WHEN 0 THEN ' '||event_type WHEN 1 THEN event_type||' ' ELSE 'null' END AS note_txt",
+    ]
+
+
+MESSY_EVENTS_SQL = (
+    "SELECT " + ", ".join(_event_columns("varchar", "//", "strftime(ts, '%Y-%m-%d %H:%M:%S')"))
+    + " FROM (SELECT *, md5(cast(event_id AS varchar)) AS h, cast(round(value*100) AS bigint) AS cents"
+    " FROM events) b")
+
+
+def messy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "events").selectExpr(
+        "*", "md5(cast(event_id AS string)) AS h", "cast(round(value*100) AS bigint) AS cents")
+    return base.selectExpr(*_event_columns(
+        "string", "div", "date_format(ts, 'yyyy-MM-dd HH:mm:ss')")).withColumnRenamed(
+        "event_id", "row_idx")
+
+
 ORDERS_TARGET = TargetSchema(
     "orders_clean",
     (

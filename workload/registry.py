@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from quaymaster import constants as K
@@ -39,6 +40,7 @@ def nullish(x: str, items=K.PROFILE_NULLS) -> str:
 
 
 def match(x: str, pattern: str) -> str:
+    pattern = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern)  # RE2 spelling of a code point
     return f"regexp_matches({x}, '{pattern}')"
 
 
