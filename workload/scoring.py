@@ -107,19 +107,19 @@ SELECT {n} AS candidate, type_score, null_score, unique_score, {1 - missing / 2}
  JOIN ({_steps_sql(_rates_sql(True))}) p USING (source, transformation)) a"""
 
 
-_SCORES_SQL = " UNION ALL ".join(_score_sql(n, m) for n, m in enumerate(CANDIDATES))
+SCORES_SQL = " UNION ALL ".join(_score_sql(n, m) for n, m in enumerate(CANDIDATES))
 _ROUNDED = ["type_score", "null_score", "unique_score", "required_score", "confidence_score", "score"]
 
 
 @query("q_score", "SELECT candidate, criticals, score >= 0.8 AND criticals = 0 AS passed, "
-       + ", ".join(f"round(cast({x} AS double), 6) AS {x}" for x in _ROUNDED) + f" FROM ({_SCORES_SQL}) s")
+       + ", ".join(f"round(cast({x} AS double), 6) AS {x}" for x in _ROUNDED) + f" FROM ({SCORES_SQL}) s")
 def q_score(spark, sf):
     s = ev.evaluate_mappings(indexed_orders(spark, sf), CANDIDATES, ORDERS_TARGET).scores
     return s.select("candidate", c("criticals").cast("bigint").alias("criticals"), "passed",
                     *[F.round(x, 6).alias(x) for x in _ROUNDED])
 
 
-@query("q_best_mapping", f"SELECT candidate, round(score, 6) AS score FROM ({_SCORES_SQL}) s "
+@query("q_best_mapping", f"SELECT candidate, round(score, 6) AS score FROM ({SCORES_SQL}) s "
        "ORDER BY score DESC, candidate LIMIT 1")
 def q_best_mapping(spark, sf):
     return ev.best_mapping(indexed_orders(spark, sf), CANDIDATES, ORDERS_TARGET).select(
