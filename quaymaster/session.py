@@ -20,6 +20,8 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "12g") -> Sp
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python call site of every column costs more than small plans do.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
