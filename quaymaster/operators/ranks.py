@@ -10,6 +10,7 @@ largest remaining interval is small enough to rank in one window partition.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 CUTS = 64
@@ -23,7 +24,8 @@ def select_ranks(values: DataFrame, wanted: DataFrame, group: str, small: int =
     ``values`` holds ``group, value, cnt`` with distinct values. Returns
     ``group, tag, value``. ``wanted`` has a few rows per group (a proven size).
     """
-    values = values.select(F.col(group).alias("g"), "value", "cnt", F.lit(0).cast("bigint").alias("part"))
+    values = values.select(F.col(group).alias("g"), "value", "cnt", F.lit(0).cast("bigint").alias("part")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     targets = wanted.select(F.col(group).alias("g"), "tag", "rank", F.lit(0).cast("bigint").alias("part"))
     while (values.groupBy("g", "part").count().agg(F.max("count")).first()[0] or 0) > small:
         values, targets = _narrow(values, targets, cuts)

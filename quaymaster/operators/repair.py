@@ -47,20 +47,19 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-def _check_texts(texts: dict[str, Column], target: TargetSchema) -> Column:
-    """The errors of a row held as text."""
+def _check_texts(texts: dict[str, Column], values: dict[str, Column], target: TargetSchema) -> Column:
+    """The errors of a row held as text, given the typed values of the texts."""
     found = []
     for name, text in texts.items():
-        column = target.column(name)
-        value = strict_value(text, column)
-        found.append(error(text.isNotNull() & value.isNull(), name, K.BAD_CAST,
+        column, value = target.column(name), values[name]
+        refused = text.isNotNull() & value.isNull()
+        found.append(error(refused, name, K.BAD_CAST,
                            F.concat(F.lit("Cannot cast "), text, F.lit(f" to {column.coercion}")), text))
         dtype = {"integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}.get(
             column.coercion, T.StringType())
-        rules = output_errors(column, value, dtype, text, strict_int=True)
         # A missing value is NOT NULL trouble only when nothing failed to cast.
-        found += [v.unless(text.isNotNull() & value.isNull()) for v in rules]
-        found += check_errors(target, name, value, text)
+        rules = output_errors(column, value, dtype, text, strict_int=True)
+        found += [v.unless(refused) for v in rules] + check_errors(target, name, value, text)
     return collect_errors(found)
 
 
@@ -191,18 +190,21 @@ def _one_pass(work: DataFrame, names: list[str], rules: Sequence[FixRule], targe
         for at, c in chains[n]:
             value = value.when(F.col("rule") == at, c)
         fresh.append(value.otherwise(texts[n]).alias(f"n{i}"))
-    work = work.select("*", *fresh, F.coalesce(failed, F.lit(False)).alias("failed"))
+    applied = F.col("rule").isin(*updates) if updates else F.lit(False)
+    work = work.select("*", *fresh, F.coalesce(failed, F.lit(False)).alias("failed")).withColumn(
+        "applied", applied & ~F.col("failed"))
 
-    # 3. Revalidate rows that were changed.
+    # 3. Revalidate rows that were changed; values are a step of their own, so each is parsed once.
     now = {n: F.col(f"n{i}") for i, n in enumerate(names)}
-    errs = _check_texts(now, target)
+    work = work.select("*", *[F.when(F.col("applied"), strict_value(now[n], target.column(n))).alias(f"v{i}")
+                              for i, n in enumerate(names)])
+    errs = _check_texts(now, {n: F.col(f"v{i}") for i, n in enumerate(names)}, target)
     moved = F.array_compact(F.array(*[
         F.when(~F.col(f"t{i}").eqNullSafe(F.col(f"n{i}")), F.lit(n)) for i, n in enumerate(names)]))
-    applied = F.col("rule").isin(*updates) & ~F.col("failed") if updates else F.lit(False)
     sticky = F.filter("errs", lambda e: e["code"].isin(*SET_LEVEL) & ~F.array_contains(moved, e["column"]))
     checked = F.concat(F.coalesce(errs, F.array().cast(ERROR_TYPE)), sticky)
-    work = work.withColumn("checked", F.when(applied, F.when(F.size(checked) > 0, checked))).withColumn(
-        "applied", applied)
+    work = work.withColumn("all_errors", F.when(F.col("applied"), checked)).withColumn(
+        "checked", F.when(F.size("all_errors") > 0, F.col("all_errors")))
 
     # 4. Next state. A fix that failed to apply replaces the message and uses the attempt.
     is_skip = F.col("rule").isin(*skips) if skips else F.lit(False)

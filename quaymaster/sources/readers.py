@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quaymaster.operators.mapping import ROW_IDX, quoted
-from quaymaster.sources.row_index import with_row_index
+from quaymaster.sources.row_index import spread, with_row_index
 
 CORRUPT = "_corrupt"
 
@@ -103,7 +103,7 @@ def read_source(spark: SparkSession, path: str, **options) -> DataFrame:
         return read_json(spark, path, **options)
     if kind == ".parquet":
         df = spark.read.parquet(path)
-        return with_row_index(df) if options.get("row_index", True) else df
+        return spread(with_row_index(df) if options.get("row_index", True) else df)
     raise ValueError(f'unsupported file extension "{kind}"; use .csv, .json, .jsonl or .parquet')
 
 

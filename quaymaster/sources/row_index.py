@@ -41,6 +41,16 @@ def with_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: s
         (F.col("_offset") + F.col("_row")).alias(name), *columns)
 
 
+def spread(df: DataFrame, most: int = 256) -> DataFrame:
+    """Even out rows over the cores when the files give fewer tasks than there are cores.
+
+    A large source has more splits than cores and is returned as it is; a few small
+    or unsplittable files would otherwise keep row-wise work on as many cores as files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(min(cores, most))
+
+
 def _from_splits(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Text files: offset of the split plus position in the split.
 

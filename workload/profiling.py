@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quaymaster import constants as K
 from quaymaster.operators import profile as prof
 from quaymaster.operators.topk import first_k_per_group
+from quaymaster.sources.row_index import spread
 from workload.inputs import (
     DIRTY_ORDERS_SQL as DIRTY, MESSY_EVENTS_SQL as EVENTS, indexed_orders, messy_events, table,
 )
@@ -33,7 +34,8 @@ LIVE = f"(NOT {nullish('value')})"
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select(c("doc_id").alias("row_idx"), "text", "lang", "source")
+    docs = table(spark, sf, "documents").select(c("doc_id").alias("row_idx"), "text", "lang", "source")
+    return spread(docs)
 
 
 def _freq(spark, sf, which="orders"):
@@ -124,7 +126,8 @@ GROUP BY "column", live, n HAVING n >= 0.6 * live"""
 
 @query("q_numeric_stats", _stats_sql(LONG_ORDERS) + " UNION ALL " + _stats_sql(LONG_EVENTS))
 def q_numeric_stats(spark, sf):
-    return prof.numeric_stats(_freq(spark, sf)).union(prof.numeric_stats(_freq(spark, sf, "events")))
+    parts = [prof.numeric_stats(_freq(spark, sf, w).persist()) for w in ("orders", "events")]
+    return parts[0].union(parts[1])
 
 
 def _top_sql(long: str) -> str:
