@@ -1,7 +1,7 @@
 """Column functions: built-in expressions only, no Python UDF."""
 
 from quaymaster.functions.numbers import (
-    check_range, clean_boolean, clean_integer, clean_number, extract_number,
+    check_range, clean_boolean, clean_integer, clean_number, extract_number, matching,
     round_half_up, strip_currency, to_boolean, to_integer, to_number,
 )
 from quaymaster.functions.structured import (

@@ -15,9 +15,11 @@ def _finite(c: Column) -> Column:
     return F.when((F.abs(c) < F.lit(_INF)) & ~F.isnan(c), c)
 
 
-def _prefix(text: Column, pattern: str, sql_type: str) -> Column:
-    # No match extracts '', which try_cast turns into NULL.
-    return F.regexp_extract(text, pattern, 0).try_cast(sql_type)
+def matching(text: Column, pattern: str, sql_type: str) -> Column:
+    """The part of the text that an anchored pattern matches, cast; NULL without a match."""
+    # The pattern is anchored, so there is one match or none. No match must reach the
+    # cast as NULL: a text that is no number costs the cast an exception.
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(0)).try_cast(sql_type)
 
 
 def to_integer(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -27,14 +29,14 @@ def to_integer(c: Column, dtype: T.DataType | None = None) -> Column:
             dtype, (T.DoubleType, T.FloatType)) else c.try_cast("bigint")
     if isinstance(dtype, T.BooleanType):
         return c.cast("bigint")
-    return _prefix(js_trim(c), K.INTEGER_PREFIX, "bigint")
+    return matching(js_trim(c), K.INTEGER_PREFIX, "bigint")
 
 
 def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     """C4: decimal or exponent prefix of the text, finite values only."""
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return _finite(c.cast("double"))
-    return _prefix(js_trim(c), K.NUMBER_PREFIX, "double")
+    return matching(js_trim(c), K.NUMBER_PREFIX, "double")
 
 
 def to_boolean(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -58,19 +60,19 @@ def strip_currency(c: Column, extra_prefixes: tuple[str, ...] = ()) -> Column:
 
 def extract_number(c: Column, extra_prefixes: tuple[str, ...] = ()) -> Column:
     """C11: currency-aware strict number; a bare symbol, hex or Infinity is NULL."""
-    return _prefix(strip_currency(c, extra_prefixes), K.NUMBER_WHOLE, "double")
+    return matching(strip_currency(c, extra_prefixes), K.NUMBER_WHOLE, "double")
 
 
 def clean_integer(c: Column) -> Column:
     """Null words and unparsable text give NULL; currency stripped, prefix parse."""
     return F.when(~is_nullish(c, K.CLEAN_NULLS),
-                  _prefix(strip_currency(js_trim(c)), K.INTEGER_PREFIX, "bigint"))
+                  matching(strip_currency(js_trim(c)), K.INTEGER_PREFIX, "bigint"))
 
 
 def clean_number(c: Column) -> Column:
     """As ``clean_integer`` with a decimal or exponent prefix."""
     return F.when(~is_nullish(c, K.CLEAN_NULLS),
-                  _prefix(strip_currency(js_trim(c)), K.NUMBER_PREFIX, "double"))
+                  matching(strip_currency(js_trim(c)), K.NUMBER_PREFIX, "double"))
 
 
 def clean_boolean(c: Column) -> Column:

@@ -20,7 +20,9 @@ def is_json(c: Column) -> Column:
     as_field = F.try_parse_json(F.concat(F.lit('{"k":'), c, F.lit("}")))
     one = F.try_variant_get(as_list, "$[0]", "variant").isNotNull() & F.try_variant_get(
         as_list, "$[1]", "variant").isNull()
-    return F.coalesce(as_list.isNotNull() & as_field.isNotNull() & one, F.lit(False))
+    # A failing parse costs an exception; most text already fails on its first character.
+    may_be = c.rlike(rf'^{K.SPACE_CLASS}*[\[{{"0-9tfn-]')
+    return F.coalesce(may_be & as_list.isNotNull() & as_field.isNotNull() & one, F.lit(False))
 
 
 def is_json_container(c: Column) -> Column:

@@ -31,9 +31,9 @@ def strict_value(text: Column, column: TargetColumn) -> Column:
     kind = column.coercion
     trimmed = fn.js_trim(text)
     if kind == "integer":
-        return F.regexp_extract(trimmed, K.INTEGER_WHOLE, 0).try_cast("bigint")
+        return fn.matching(trimmed, K.INTEGER_WHOLE, "bigint")
     if kind == "number":
-        return F.regexp_extract(trimmed, K.NUMBER_WHOLE, 0).try_cast("double")
+        return fn.matching(trimmed, K.NUMBER_WHOLE, "double")
     if kind == "uuid":
         return fn.to_uuid(text, strict=False)
     if kind == "string":

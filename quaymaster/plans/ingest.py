@@ -47,36 +47,35 @@ def analyze(df: DataFrame, mapping: Mapping, target: TargetSchema,
 
 def bucketed_rows(df: DataFrame, mapping: Mapping, target: TargetSchema, rules: Sequence[FixRule] = (),
                   max_retries: int = K.MAX_RETRIES, safe_mode: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(every input row in its bucket, the coerced rows). Narrow plans only."""
+    """(every input row in its bucket, the coercion warnings).
+
+    The checked rows are held (memory, then disk): good rows, rejects and warnings
+    are three readings of them, and coercion should run once per row.
+    """
     full, empty = split_empty_rows(df, mapping)
-    prepared = apply_mapping(full, mapping, target)
-    checked = check_constraints(prepared, target)
+    checked = check_constraints(apply_mapping(full, mapping, target), target).persist(StorageLevel.MEMORY_AND_DISK)
     good, bad = split_valid(checked)
     # Good rows take the target's types, as the repaired ones do.
     typed = good.select(ROW_IDX, *[
         F.col(c).cast(target.column(c).spark_type).alias(c) for c in good.columns if c != ROW_IDX])
-    return bucket_rows(typed, repair(bad, rules, target, max_retries, safe_mode), empty), prepared
+    warnings = bad.select(F.explode("errors").alias("e")).filter(F.col("e.code") == K.BAD_CAST).select("e.*")
+    return bucket_rows(typed, repair(bad, rules, target, max_retries, safe_mode), empty), warnings
 
 
 def run_ingestion(df: DataFrame, mapping: Mapping, target: TargetSchema, target_df: DataFrame,
                   keys: Sequence[str], rules: Sequence[FixRule] = (), hints: MappingHints | None = None,
                   max_retries: int = K.MAX_RETRIES, safe_mode: bool = True) -> Ingestion:
-    """Map, coerce, split, repair, upsert, report.
-
-    The bucketed rows are held once, because the merge and the report both read them.
-    """
+    """Map, coerce, split, repair, upsert, report."""
     target.check_keys(keys)
     if df.isEmpty():
         raise ValueError("no rows in the source")
     columns = _source_columns(df)
     resolved = mapping.resolve(columns, target, hints)
-    rows, prepared = bucketed_rows(df, resolved, target, rules, max_retries, safe_mode)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows, coercion = bucketed_rows(df, resolved, target, rules, max_retries, safe_mode)
     accepted = rows.filter(F.col("bucket").isin("loaded", "repaired"))
     supplied = retain_target(accepted, target).drop("errors")
     merged = upsert_by_key(target_df, supplied, keys, target.default_values())
-    warnings = prepared.filter(F.col("errors").isNotNull()).select(F.explode("errors"))
-    report = ingestion_report(rows, resolved.warnings, dropped_columns(df, resolved, target), warnings)
+    report = ingestion_report(rows, resolved.warnings, dropped_columns(df, resolved, target), coercion)
     return Ingestion(merged, rows, report, resolved.warnings)
 
 

@@ -214,8 +214,7 @@ SELECT count(*) AS rows_total, count(*) AS rows_prepared,
  cast(sum(p + d + a) AS bigint) + count(CASE WHEN bucket = 'manual' THEN 1 END) AS manual_actions,
  count(CASE WHEN bucket = 'unresolved' THEN 1 END) AS unresolved_errors FROM ({BUCKETED}) b""")
 def q_ingest_report(spark, sf):
-    rows, prepared = _bucketed(spark, sf)
-    warned = prepared.filter(c("errors").isNotNull()).select(F.explode("errors"))
+    rows, warned = _bucketed(spark, sf)
     return ingestion_report(rows, coercion_warnings=warned).drop("dropped_columns")
 
 
