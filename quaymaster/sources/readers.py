@@ -27,9 +27,10 @@ def read_csv(spark: SparkSession, path: str | list[str], strict: bool = True, ro
     names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CORRUPT, T.StringType())])
-    # The corrupt column also keeps the parser from skipping unselected fields,
-    # so a ragged row is noticed whatever columns a query needs.
-    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
+    # Without pruning the parser sees every field, so a ragged row is noticed whatever
+    # columns a query needs. (A text line is read whole in any case.)
+    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
+                             columnPruning=False).schema(schema).csv(path)
     if row_index:
         raw = with_row_index(raw)
     filled = [F.coalesce(quoted(n), F.lit("")).alias(n) for n in names]
@@ -39,11 +40,12 @@ def read_csv(spark: SparkSession, path: str | list[str], strict: bool = True, ro
         if out.isEmpty():
             raise ValueError(f"no rows in {path}")
         return out
-    guard = F.when(F.col(CORRUPT).isNotNull(), F.raise_error(
-        F.concat(F.lit("wrong number of fields: "), CORRUPT)))
+    # raise_error must stay uncast: an explicit cast of it is folded to NULL.
+    ragged = F.col(CORRUPT).isNotNull()
+    stop = F.raise_error(F.concat(F.lit("wrong number of fields: "), CORRUPT))
     if row_index:
-        return raw.select(F.coalesce(guard.cast("bigint"), F.col(ROW_IDX)).alias(ROW_IDX), *filled)
-    return raw.select(*[F.coalesce(guard.cast("string"), x).alias(n) for x, n in zip(filled, names)])
+        return raw.select(F.when(ragged, stop).otherwise(F.col(ROW_IDX)).alias(ROW_IDX), *filled)
+    return raw.select(*[F.when(ragged, stop).otherwise(x).alias(n) for x, n in zip(filled, names)])
 
 
 def _require_array_files(spark: SparkSession, path) -> None:

@@ -30,12 +30,10 @@ def with_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: s
     if order_by is not None:
         return _from_sort(df, order_by, name)
     columns = df.columns
-    try:
-        tagged = df.select(*columns, F.col("_metadata.file_path").alias("_path"),
-                           F.col("_metadata.row_index").alias("_row"))
-        tagged.schema  # analysed here: text formats have no row_index
-    except Exception:  # noqa: BLE001 - AnalysisException of several classes
+    if "row_index" not in df.select("_metadata").schema["_metadata"].dataType.fieldNames():
         return _from_splits(df, columns, name)
+    tagged = df.select(*columns, F.col("_metadata.file_path").alias("_path"),
+                       F.col("_metadata.row_index").alias("_row"))
     counts = tagged.groupBy("_path").agg(F.count(F.lit(1)).alias("_count")).persist()
     return tagged.join(_offsets(counts, ["_path"]).select("_path", "_offset"), "_path").select(
         (F.col("_offset") + F.col("_row")).alias(name), *columns)
@@ -65,8 +63,9 @@ def _from_splits(df: DataFrame, columns: list[str], name: str) -> DataFrame:
         F.count(F.lit(1)).alias("_count"), F.min("_id").alias("_first")).persist()
     placed = tagged.join(_offsets(counts, ["_path", "_start"]), ["_path", "_start"], "left")
     at = F.col("_id") - F.col("_first")
+    # raise_error must stay uncast: an explicit cast of it is folded to NULL.
     index = F.when((at >= 0) & (at < F.col("_count")), F.col("_offset") + at).otherwise(
-        F.raise_error(F.lit("file splits changed while rows were being numbered")).cast("bigint"))
+        F.raise_error(F.lit("file splits changed while rows were being numbered")))
     return placed.select(index.alias(name), *columns)
 
 
