@@ -17,8 +17,8 @@ from quaymaster.functions.structured import castable
 from quaymaster.functions.text import is_nullish, js_trim
 from quaymaster.model import TRANSFORMATIONS, Mapping, TargetSchema
 from quaymaster.operators.mapping import ROW_IDX, quoted
-from quaymaster.operators.profile import frequency_table, text_rows
-from quaymaster.operators.topk import first_k_matching
+from quaymaster.operators.profile import frequency_table
+from quaymaster.operators.topk import first_k_matching, first_k_values, text_rows
 from quaymaster.session import small_frame
 
 _SEP = "\x1f"
@@ -60,9 +60,8 @@ def cast_rates(df: DataFrame, pairs: Sequence[tuple[str, str]], scope: str = "sa
         values = text_rows(df, sources, row_idx).filter(_not_blank(F.col("value"))).groupBy(
             F.col("column").alias("source"), "value").agg(F.count(F.lit(1)).alias("cnt"))
     else:
-        tests = {s: (_text(s), _not_blank(_text(s))) for s in sources}
-        values = first_k_matching(df, tests, K.CAST_SAMPLE, row_idx).select(
-            F.col("tag").alias("source"), "value", F.lit(1).alias("cnt"))
+        values = first_k_values(df, sources, _not_blank, K.CAST_SAMPLE, row_idx).select(
+            F.col("column").alias("source"), "value", F.lit(1).alias("cnt"))
     # ``wanted`` has one row per rule: a proven size.
     tested = values.join(F.broadcast(wanted), "source").withColumn(
         "ok", _castable_by(F.col("transformation"), F.col("value")))
@@ -94,16 +93,15 @@ def column_stats(df: DataFrame, columns: Sequence[str], unique_columns: Sequence
 
     Only columns that must be unique are counted by value; the rest is one scan.
     """
-    columns = list(columns)
-    one = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(columns) for x in (
-        F.count(F.when(~is_nullish(_text(c)), 1)).alias(f"l{i}"),
-        F.max(F.when(~is_nullish(_text(c)), F.length(_text(c)))).alias(f"m{i}"))])
-    rows = one.select("n", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("source"), F.col(f"l{i}").alias("live"), F.col(f"m{i}").alias("longest"))
-        for i, c in enumerate(columns)])))
-    rows = rows.select(
-        "source", F.coalesce(F.try_divide(F.col("n") - F.col("live"), F.col("n")), F.lit(1.0)).alias("null_rate"),
-        F.col("n").alias("total_count"), F.coalesce("longest", F.lit(0)).alias("max_length"))
+    live = ~is_nullish(F.col("value"))
+    rows = text_rows(df, list(columns), row_idx).groupBy(F.col("column").alias("source")).agg(
+        F.count(F.lit(1)).alias("total_count"), F.count(F.when(live, 1)).alias("live"),
+        F.coalesce(F.max(F.when(live, F.length("value"))), F.lit(0)).alias("max_length"))
+    # A source without rows still has its columns.
+    rows = small_frame(df.sparkSession, [(c,) for c in columns], "source string").join(rows, "source", "left").select(
+        "source", F.coalesce(F.try_divide(F.col("total_count") - F.col("live"), F.col("total_count")), F.lit(1.0))
+        .alias("null_rate"), F.coalesce("total_count", F.lit(0)).alias("total_count"),
+        F.coalesce("max_length", F.lit(0)).alias("max_length"))
     if not unique_columns:
         return rows.withColumn("unique_count", F.lit(None).cast("bigint"))
     counts = text_rows(df, list(unique_columns), row_idx).filter(~is_nullish(F.col("value"))).groupBy(

@@ -24,7 +24,7 @@ from quaymaster.functions.text import (
 )
 from quaymaster.operators.mapping import ROW_IDX, quoted
 from quaymaster.operators.ranks import select_ranks
-from quaymaster.operators.topk import first_k_matching, first_k_per_group
+from quaymaster.operators.topk import first_k_matching, first_k_per_group, first_k_values, text_rows
 
 # One bit of ``flags`` per test: types, patterns, then the two column flags.
 _TYPE_NAMES = [name for name, _ in K.TYPE_TESTS]
@@ -54,15 +54,6 @@ def _flag(name: str) -> Column:
     return F.col("flags").bitwiseAND(F.lit(1 << _BITS[name])) != 0
 
 
-def text_rows(df: DataFrame, columns: Sequence[str], row_idx: str = ROW_IDX) -> DataFrame:
-    """Long form ``(row_idx, column, value)`` with absent values as ''."""
-    as_text = df.select(F.col(row_idx).alias("row_idx"), *[
-        F.coalesce(quoted(c).cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(columns)])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("value"))
-                      for i, c in enumerate(columns)])
-    return as_text.select("row_idx", F.inline(pairs))
-
-
 def frequency_table(df: DataFrame, columns: Sequence[str], long_text: Sequence[str] = (),
                     row_idx: str = ROW_IDX) -> DataFrame:
     """``F``: ``column, key, tkey, cnt, first_idx, live, len, num, flags``.
@@ -213,8 +204,7 @@ def outliers(df: DataFrame, freq: DataFrame, stats: DataFrame, columns: Sequence
 def samples(df: DataFrame, columns: Sequence[str], k: int = K.SAMPLES_KEPT,
             row_idx: str = ROW_IDX) -> DataFrame:
     """First ``k`` live values per column in row order: ``column, row_idx, value, rn``."""
-    tests = {c: (quoted(c).cast("string"), ~is_nullish(quoted(c).cast("string"))) for c in columns}
-    return first_k_matching(df, tests, k, row_idx).withColumnRenamed("tag", "column")
+    return first_k_values(df, columns, lambda v: ~is_nullish(v), k, row_idx)
 
 
 def _ordered_list(rows: DataFrame, item: Column, name: str) -> DataFrame:
