@@ -37,11 +37,13 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], row_idx: str | None = Non
 def foreign_key_gaps(df: DataFrame, parent: DataFrame, on: MappingABC[str, str]) -> DataFrame:
     """Complete child keys without a parent, with the number of rows behind each.
 
-    Both sides are reduced to distinct keys before they meet.
+    Both sides are reduced to distinct keys before they meet. The join is written as
+    an outer join with a marker, because an anti join would be moved below the
+    counting and shuffle every row of a hot key.
     """
     child = df.filter(_all_set(list(on))).groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
-    parents = parent.select(*[quoted(p).alias(c) for c, p in on.items()]).distinct()
-    return child.join(parents, list(on), "left_anti")
+    parents = parent.select(*[quoted(p).alias(c) for c, p in on.items()]).distinct().withColumn("_parent", F.lit(True))
+    return child.join(parents, list(on), "left").filter(F.col("_parent").isNull()).drop("_parent")
 
 
 def canonicalize(df: DataFrame, column: str, dictionary: DataFrame, value_column: str,

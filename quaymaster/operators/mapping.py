@@ -46,6 +46,8 @@ def apply_mapping(df: DataFrame, mapping: Mapping, target: TargetSchema,
             text = F.when(kind.isin("array", "object"), F.to_json(raw)).otherwise(
                 _scalar_from_variant(raw))
             raw, dtype = text, T.StringType()
+        elif isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)) and coercion != "json":
+            raw, dtype = F.to_json(raw), T.StringType()
         staged += [raw.alias(f"r{i}"), coerce_text(raw, coercion, dtype).alias(f"v{i}")]
     work = df.select(*staged)
 

@@ -150,11 +150,14 @@ def top_values(freq: DataFrame, k: int = K.TOP_VALUES) -> DataFrame:
     """``column, rn, tkey, first_idx, count, pct``; ties go to the earlier value."""
     by_value = freq.filter("live").groupBy("column", "tkey").agg(
         F.sum("cnt").alias("count"), F.min("first_idx").alias("first_idx"))
+    # ``first`` keeps this branch on the same columns as the ranking below, so that
+    # both read one shuffle of the value counts.
     totals = by_value.groupBy("column").agg(
         F.sum("count").alias("live_count"), F.count(F.lit(1)).alias("distinct"),
-        F.max("count").alias("top")).filter(
-        (F.col("distinct") <= K.TOP_MAX_DISTINCT)
-        | (F.col("top") / F.col("live_count") >= K.TOP_MIN_SHARE))
+        F.max("count").alias("top"), F.min("first_idx").alias("first")).filter(
+        F.col("first").isNotNull() & (
+            (F.col("distinct") <= K.TOP_MAX_DISTINCT)
+            | (F.col("top") / F.col("live_count") >= K.TOP_MIN_SHARE)))
     ranked = first_k_per_group(by_value, ["column"], k, [F.desc("count"), F.asc("first_idx")])
     pct = F.floor(F.col("count") * 1000 / F.col("live_count") + 0.5) / 10
     return ranked.join(totals, "column").select(

@@ -241,3 +241,15 @@ def test_preflight_buckets(spark):
     got = sorted((r["bucket"], r["source"] or r["target"]) for r in
                  preflight(spark, m, SHOP, ["name", "sex", "hex", "imgs"]).collect())
     assert got == [("alert", "imgs"), ("missing_required", "price"), ("success", "name"), ("warning", "sex")]
+
+
+def test_foreign_key_gaps_with_a_hot_key(spark):
+    from quaymaster.operators.constraints import foreign_key_gaps
+    child = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 WHEN id = 1 THEN NULL ELSE id % 50 END AS fk")
+    parent = spark.range(0, 49).selectExpr("id AS pk")
+    gaps = foreign_key_gaps(child, parent, {"fk": "pk"})
+    expected = [(-1, 3000), (49, len([i for i in range(9000) if i % 3 and i != 1 and i % 50 == 49]))]
+    assert sorted(tuple(r) for r in gaps.collect()) == expected
+    # Rows are counted per key before they are shuffled or joined.
+    plan = gaps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("Aggregate")

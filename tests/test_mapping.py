@@ -123,3 +123,14 @@ def test_extra_checks(spark):
     v = validate_output(df, [Transform.named("p", "price", "to_number")], target, with_checks=True)
     assert v.rows.filter("errors is not null").select(F.element_at("errors", 1)["code"]).distinct().first()[0] == "out_of_range"
     assert v.summary.first()["passed_rows"] == 1
+
+
+def test_nested_and_typed_sources(spark):
+    df = spark.sql("SELECT 0L row_idx, named_struct('x', 1) s, 7.9D d, true b, timestamp'2024-01-05 10:00:00' t")
+    target = TargetSchema("t", (TargetColumn("a", "integer"), TargetColumn("b", "integer"), TargetColumn("c", "integer"),
+                                TargetColumn("d", "date"), TargetColumn("j", "jsonb")))
+    m = Mapping((MappingRule("s", "a"), MappingRule("d", "b"), MappingRule("b", "c"), MappingRule("t", "d")))
+    row = apply_mapping(df, m, target).first()
+    assert (row["a"], row["b"], row["c"], str(row["d"])) == (None, 7, 1, "2024-01-05")
+    assert [(e["column"], e["input"]) for e in row["errors"]] == [("a", '{"x":1}')]
+    assert apply_mapping(df, Mapping((MappingRule("s", "j"),)), target).first()["j"] == '{"x":1}'

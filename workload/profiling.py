@@ -143,7 +143,8 @@ WHERE rn <= 10 AND (distinct_n <= 50 OR top / live >= 0.1)"""
 
 @query("q_top_values", _top_sql(LONG_ORDERS) + " UNION ALL " + _top_sql(LONG_EVENTS))
 def q_top_values(spark, sf):
-    return prof.top_values(_freq(spark, sf)).union(prof.top_values(_freq(spark, sf, "events"))).select(
+    parts = [prof.top_values(_freq(spark, sf, w)) for w in ("orders", "events")]
+    return parts[0].union(parts[1]).select(
         "column", c("rn").cast("bigint").alias("rn"), "tkey", "count", "pct")
 
 
