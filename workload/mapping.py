@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaymaster import constants as K, functions as fn
+from quaymaster import constants as K
 from quaymaster.model import Mapping, MappingHints, MappingRule, Transform
 from quaymaster.operators.errors import error_count, has_errors
 from quaymaster.operators.mapping import (
@@ -16,7 +16,7 @@ from quaymaster.operators.validate import (
 from workload.inputs import (
     DIRTY_ORDERS_SQL as DIRTY, ORDERS_MAPPING, ORDERS_TARGET, indexed_orders, table,
 )
-from workload.registry import day, match, nullish, prefix, query, strip_currency, t, words
+from workload.registry import day, nullish, prefix, query, strip_currency, t, words
 
 c = F.col
 
