@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import difference, duck
+from workload.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, con, name):
     try:
         assert difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
