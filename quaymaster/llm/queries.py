@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quaymaster.llm import byte_bpe, language_id, mixing, url_reputation
-from quaymaster.llm.common import crc_remainder
+from quaymaster.llm import byte_bpe, language_id, mixing, quality_rules, url_reputation
+from quaymaster.llm.common import crc_remainder, written
 from quaymaster.llm.oracle import MIXING, URL_REPUTATION
 from quaymaster.llm.registry import query, table
 
@@ -44,3 +44,10 @@ def byte_level_bpe(spark, sf_dir):
     return byte_bpe.decode(encoded, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op1_quality_rules")
+def quality(spark, sf_dir):
+    measured = written(quality_rules.measure(table(spark, sf_dir, "documents")), "measures")
+    return quality_rules.judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                                "base_failed", "kept", "votes", "quality")
