@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quaymaster.llm import byte_bpe, language_id, mixing, quality_rules, url_reputation
+from quaymaster.llm import byte_bpe, language_id, minhash, mixing, quality_rules, url_reputation
 from quaymaster.llm.common import crc_remainder, written
 from quaymaster.llm.oracle import MIXING, URL_REPUTATION
 from quaymaster.llm.registry import query, table
@@ -51,3 +51,8 @@ def quality(spark, sf_dir):
     measured = written(quality_rules.measure(table(spark, sf_dir, "documents")), "measures")
     return quality_rules.judge(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                                 "base_failed", "kept", "votes", "quality")
+
+
+@query("op5_minhash_near_dedup")
+def near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
