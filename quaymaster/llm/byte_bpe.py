@@ -13,13 +13,15 @@ import base64
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quaymaster.llm.common import blocks, struct, whole, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
+ROWS = 256  # rows decoded at a time
 LOOKAHEAD = 4  # a match that ends so far before the end of a chunk did not depend on what follows the chunk
 
 
@@ -56,7 +58,7 @@ def _encode_rows(path: str, pattern: str, keep: list[str]):
         encode = encoding(path, pattern).encode_ordinary
         for batch in batches:
             for part in blocks([batch], "text", BLOCK_BYTES):
-                ids = pa.array([encode(text) for text in part.column("text").to_pylist()], pa.list_(pa.int32()))
+                ids = pa.array([np.array(encode(text), np.int32) for text in part.column("text").to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], ids], names=[*keep, "ids"])
     return run
 
@@ -145,10 +147,10 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overla
 def _decode_rows(path: str, at: int):
     def run(batches):
         table = id_bytes(path)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = batch.column(at)
-            offsets, flat = ids.offsets.to_pylist(), ids.values.to_pylist()
-            texts = [b"".join(map(table.__getitem__, flat[a:b])) for a, b in zip(offsets, offsets[1:])]
+            offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            texts = [b"".join(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
     return run
 
