@@ -107,7 +107,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     query_blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
     shared = rows.sparkSession.sparkContext.broadcast(fit_pivots(rows, pivots))
 
-    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def search(key, left, right):
         found = []
         if left.num_rows and right.num_rows:
             dim = key[0].as_py()

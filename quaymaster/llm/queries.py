@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quaymaster.llm import byte_bpe, language_id, minhash, mixing, permutation_index, quality_rules, url_reputation
+from quaymaster.llm import byte_bpe, language_id, minhash, mixing, permutation_index, ppm, quality_rules, url_reputation
 from quaymaster.llm.common import crc_remainder, written
 from quaymaster.llm.oracle import MIXING, URL_REPUTATION
 from quaymaster.llm.registry import query, table
@@ -61,3 +61,8 @@ def near_duplicates(spark, sf_dir):
 @query("op7_permutation_index")
 def neighbours(spark, sf_dir):
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@query("op9_ppm_scoring")
+def language_model_scores(spark, sf_dir):
+    return ppm.score_documents(table(spark, sf_dir, "documents"), train=crc_remainder(F.col("doc_id")) != 1)
