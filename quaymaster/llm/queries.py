@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quaymaster.llm import byte_bpe, language_id, minhash, mixing, permutation_index, ppm, quality_rules, url_reputation
+from quaymaster.llm import byte_bpe, language_id, minhash, mixing, permutation_index, phrase_automata, ppm, quality_rules, url_reputation
 from quaymaster.llm.common import crc_remainder, written
 from quaymaster.llm.oracle import MIXING, URL_REPUTATION
 from quaymaster.llm.registry import query, table
@@ -66,3 +66,8 @@ def neighbours(spark, sf_dir):
 @query("op9_ppm_scoring")
 def language_model_scores(spark, sf_dir):
     return ppm.score_documents(table(spark, sf_dir, "documents"), train=crc_remainder(F.col("doc_id")) != 1)
+
+
+@query("op6_phrase_automata")
+def repeated_passages(spark, sf_dir):
+    return phrase_automata.remove_repeated_passages(table(spark, sf_dir, "documents"))
