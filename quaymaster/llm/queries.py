@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quaymaster.llm import byte_bpe, language_id, minhash, mixing, permutation_index, phrase_automata, ppm, quality_rules, url_reputation
+from quaymaster.llm import byte_bpe, language_id, minhash, mixing, permutation_index, phrase_automata, ppm, quality_rules, suffix_repeats, url_reputation
 from quaymaster.llm.common import crc_remainder, written
 from quaymaster.llm.oracle import MIXING, URL_REPUTATION
 from quaymaster.llm.registry import query, table
@@ -71,3 +71,8 @@ def language_model_scores(spark, sf_dir):
 @query("op6_phrase_automata")
 def repeated_passages(spark, sf_dir):
     return phrase_automata.remove_repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_repeats")
+def repeated_bytes(spark, sf_dir):
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
