@@ -20,7 +20,7 @@ from quaymaster.llm.common import blocks, struct, written
 from quaymaster.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 30, 5
 BATCH = 16  # signature values compared before each look at the posterior
 MISS = 1e-6  # chance at each look to lose a pair that reaches the similarity
 BLOCK_BYTES = 8 << 20
@@ -63,8 +63,9 @@ def sketch_texts(texts: list[str | None], bands: int = BANDS, rows: int = ROWS)
     for text in texts:
         words = words_of(text)
         if words:
-            for w in set(words) - known.keys():
-                known[w] = xxhash.xxh64_intdigest(w)
+            for w in set(words):
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
             sets.append(shingle_hashes(np.array([known[w] for w in words], np.uint64)))
         keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
     signatures: Iterator[bytes] = iter(())

@@ -39,8 +39,9 @@ class WordHashes:
         self.known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        for w in set(words) - self.known.keys():
-            self.known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words):
+            if w not in self.known:
+                self.known[w] = xxhash.xxh64_intdigest(w)
         return np.array([self.known[w] for w in words], np.uint64)
 
 
