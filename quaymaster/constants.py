@@ -94,7 +94,6 @@ NULL_PENALTY = 0.3
 UNIQUE_PENALTY = 0.4
 LOW_CONFIDENCE = 0.7
 SEVERITY_RANK = {"critical": 0, "warning": 1, "info": 2}
-MAX_CANDIDATES = 5
 
 # --- fixed values: validation, sampling, batches, repair, verdict ---
 FAILURE_RATE_LIMIT = 0.05

@@ -45,11 +45,11 @@ def _pairs(mappings: Sequence[Mapping]) -> list[tuple[str, str]]:
                               if r.transformation != "none"))
 
 
-def cast_rates(df: DataFrame, pairs: Sequence[tuple[str, str]], scope: str = "sample",
+def cast_rates(df: DataFrame, pairs: Sequence[tuple[str, str]], scope: str = "all",
                row_idx: str = ROW_IDX) -> DataFrame:
-    """V1: ``source, transformation, rate`` over the first 20 non-blank values, or all.
+    """V1: ``source, transformation, rate`` over all non-blank values; each distinct value is tested once.
 
-    With ``scope='all'`` every value counts; each distinct value is tested once.
+    ``scope='sample'`` asks for the first 20 values of a column instead.
     """
     spark = df.sparkSession
     wanted = small_frame(spark, list(pairs), "source string, transformation string")
@@ -135,7 +135,7 @@ class Evaluation:
 
 
 def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: TargetSchema,
-                      scope: str = "sample", composite: bool = False, row_idx: str = ROW_IDX) -> Evaluation:
+                      scope: str = "all", composite: bool = False, row_idx: str = ROW_IDX) -> Evaluation:
     """V7 for several candidates in one reading of the data."""
     spark = df.sparkSession
     required = [c.name for c in target.required]
@@ -272,7 +272,7 @@ def evaluate_mapping(df: DataFrame, mapping: Mapping, target: TargetSchema, **op
 
 def best_mapping(df: DataFrame, candidates: Sequence[Mapping], target: TargetSchema, **options) -> DataFrame:
     """Candidates in order up to the first that passes; the highest score wins, first on ties."""
-    scores = evaluate_mappings(df, candidates[:K.MAX_CANDIDATES], target, **options).scores
+    scores = evaluate_mappings(df, candidates, target, **options).scores
     first_pass = F.min(F.when(F.col("passed"), F.col("candidate"))).over(Window.partitionBy(F.lit(1)))
     tried = scores.withColumn("first_pass", first_pass).filter(
         F.col("first_pass").isNull() | (F.col("candidate") <= F.col("first_pass")))
@@ -306,7 +306,7 @@ def shape_match(df: DataFrame, target: TargetSchema, columns: Sequence[str] | No
     frame = small_frame(spark, pairs, "source string, target string, transformation string, name_score double, "
                         "source_letters string, target_letters string, required boolean")
     kinds = sorted({p[2] for p in pairs} - {"none"})
-    freq = frequency_table(df, columns, row_idx=row_idx).withColumn("blank", ~_not_blank(F.col("key")))
+    freq = frequency_table(df, columns, row_idx=row_idx, digests=False).withColumn("blank", ~_not_blank(F.col("key")))
     weight = F.when(~F.col("blank"), F.col("cnt")).otherwise(0)
     shares = freq.groupBy("column").agg(
         F.sum("cnt").alias("n"), F.sum(F.when(F.col("live"), F.col("cnt")).otherwise(0)).alias("live"),

@@ -5,8 +5,8 @@ frequency table ``F`` (one row per column and distinct value), so each pattern
 or number parse runs once per distinct value. Rows are read again only for the
 few values that appear in row-order lists (samples, outliers).
 
-Columns of long text are keyed by digest: their tests run before the shuffle
-and the text itself is never shuffled.
+A value of more than 200 characters is keyed by its digest: its tests run before the
+shuffle and the text itself is never shuffled.
 """
 
 from __future__ import annotations
@@ -54,37 +54,31 @@ def _flag(name: str) -> Column:
     return F.col("flags").bitwiseAND(F.lit(1 << _BITS[name])) != 0
 
 
-def frequency_table(df: DataFrame, columns: Sequence[str], long_text: Sequence[str] = (),
-                    row_idx: str = ROW_IDX) -> DataFrame:
-    """``F``: ``column, key, tkey, cnt, first_idx, live, len, num, flags``.
+def value_key(value: Column) -> Column:
+    """The value itself, or the digest of one that is too long to be shuffled."""
+    return F.when(F.length(value) > K.LONG_TEXT_LENGTH, F.sha2(value, 256)).otherwise(value)
+
+
+def frequency_table(df: DataFrame, columns: Sequence[str], row_idx: str = ROW_IDX, digests: bool = True) -> DataFrame:
+    """``F``: ``column, key, tkey, cnt, first_idx, live, len, num, flags, long``.
 
     ``key`` identifies the untrimmed value and ``tkey`` the trimmed one: the text
-    itself, or its digest for ``long_text`` columns. Partial aggregation leaves at
+    itself, or its digest where the value is ``long``. Partial aggregation leaves at
     most one row per value and task, whatever share of the rows a value holds.
+    ``digests=False`` keys long values by their text too.
     """
-    short = [c for c in columns if c not in long_text]
-    parts = []
-    if short:
-        counted = text_rows(df, short, row_idx).groupBy("column", "value").agg(
-            F.count(F.lit(1)).alias("cnt"), F.min("row_idx").alias("first_idx"))
-        live = ~is_nullish(F.col("value"))
-        parts.append(counted.select(
-            "column", F.col("value").alias("key"), js_trim(F.col("value")).alias("tkey"), "cnt",
-            "first_idx", live.alias("live"), *_features(F.col("value"))))
-    if len(short) < len(columns):
-        digested = text_rows(df, [c for c in columns if c in long_text], row_idx).select(
-            "row_idx", "column", F.sha2("value", 256).alias("key"),
-            F.sha2(js_trim(F.col("value")), 256).alias("tkey"),
-            (~is_nullish(F.col("value"))).alias("live"), *_features(F.col("value")))
-        # Features depend on the key alone, so any one of them is the value.
-        parts.append(digested.groupBy("column", "key").agg(
-            F.count(F.lit(1)).alias("cnt"), F.min("row_idx").alias("first_idx"),
-            F.max("tkey").alias("tkey"), F.max("live").alias("live"), F.max("flags").alias("flags"),
-            F.max("len").alias("len"), F.max("num").alias("num")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    value = F.col("value")
+    long = (F.length(value) > K.LONG_TEXT_LENGTH) if digests else F.lit(False)
+    # What a digest cannot tell later is worked out before; it depends on the key, so it may group too.
+    early = {"long": long, "key": F.when(long, F.sha2(value, 256)).otherwise(value),
+             "long_tkey": F.when(long, value_key(js_trim(value))), "long_live": F.when(long, ~is_nullish(value)),
+             **{f"long_{n}": F.when(long, x) for n, x in zip(("flags", "len", "num"), _features(value))}}
+    counted = (text_rows(df, columns, row_idx).select("row_idx", "column", *[x.alias(n) for n, x in early.items()])
+               .groupBy("column", *early).agg(F.count(F.lit(1)).alias("cnt"), F.min("row_idx").alias("first_idx")))
+    key = F.col("key")
+    late = {"tkey": js_trim(key), "live": ~is_nullish(key), **dict(zip(("flags", "len", "num"), _features(key)))}
+    return counted.select("column", "key", "cnt", "first_idx", "long", *[
+        F.when(F.col("long"), F.col(f"long_{n}")).otherwise(x).alias(n) for n, x in late.items()])
 
 
 def basic_stats(freq: DataFrame) -> DataFrame:
@@ -148,7 +142,7 @@ def numeric_stats(freq: DataFrame) -> DataFrame:
 
 def top_values(freq: DataFrame, k: int = K.TOP_VALUES) -> DataFrame:
     """``column, rn, tkey, first_idx, count, pct``; ties go to the earlier value."""
-    by_value = freq.filter("live").groupBy("column", "tkey").agg(
+    by_value = freq.filter("live").groupBy("column", "tkey", "long").agg(
         F.sum("cnt").alias("count"), F.min("first_idx").alias("first_idx"))
     # ``first`` keeps this branch on the same columns as the ranking below, so that
     # both read one shuffle of the value counts.
@@ -161,7 +155,7 @@ def top_values(freq: DataFrame, k: int = K.TOP_VALUES) -> DataFrame:
     ranked = first_k_per_group(by_value, ["column"], k, [F.desc("count"), F.asc("first_idx")])
     pct = F.floor(F.col("count") * 1000 / F.col("live_count") + 0.5) / 10
     return ranked.join(totals, "column").select(
-        "column", "rn", "tkey", "first_idx", "count", pct.alias("pct"))
+        "column", "rn", "tkey", "long", "first_idx", "count", pct.alias("pct"))
 
 
 def value_texts(df: DataFrame, at: DataFrame, columns: Sequence[str], row_idx: str = ROW_IDX) -> DataFrame:
@@ -172,8 +166,7 @@ def value_texts(df: DataFrame, at: DataFrame, columns: Sequence[str], row_idx: s
         F.broadcast(at), ["column", "first_idx"])
 
 
-def first_rows_of(df: DataFrame, freq: DataFrame, k: int, columns: Sequence[str],
-                  long_text: Sequence[str] = (), row_idx: str = ROW_IDX) -> DataFrame:
+def first_rows_of(df: DataFrame, freq: DataFrame, k: int, columns: Sequence[str], row_idx: str = ROW_IDX) -> DataFrame:
     """First ``k`` rows per column whose value is one of those in ``freq``.
 
     The first ``k`` such rows hold at most ``k`` distinct values, and these are the
@@ -185,15 +178,13 @@ def first_rows_of(df: DataFrame, freq: DataFrame, k: int, columns: Sequence[str]
     early = early.select("column", "key", F.when(F.count(F.lit(1)).over(w) == k,
                                                  F.max("first_idx").over(w)).alias("upto"))
     rows = text_rows(df, columns, row_idx)
-    key = F.when(F.col("column").isin(*long_text), F.sha2("value", 256)).otherwise(
-        F.col("value")) if long_text else F.col("value")
-    hits = rows.withColumn("key", key).join(F.broadcast(early), ["column", "key"]).filter(
+    hits = rows.withColumn("key", value_key(F.col("value"))).join(F.broadcast(early), ["column", "key"]).filter(
         F.col("upto").isNull() | (F.col("row_idx") <= F.col("upto")))
     return first_k_per_group(hits.select("column", "row_idx", "value"), ["column"], k, ["row_idx"])
 
 
 def outliers(df: DataFrame, freq: DataFrame, stats: DataFrame, columns: Sequence[str],
-             long_text: Sequence[str] = (), k: int = K.OUTLIERS_KEPT, row_idx: str = ROW_IDX) -> DataFrame:
+             k: int = K.OUTLIERS_KEPT, row_idx: str = ROW_IDX) -> DataFrame:
     """First ``k`` rows whose number is beyond the bounds, in row order."""
     spread = F.col("p95") - F.col("min")
     outside = (F.col("num") > F.col("p95") + spread * K.OUTLIER_ABOVE) | (
@@ -201,7 +192,7 @@ def outliers(df: DataFrame, freq: DataFrame, stats: DataFrame, columns: Sequence
     # ``stats`` has one row per column: a proven size.
     odd = freq.filter("live AND num IS NOT NULL").join(
         F.broadcast(stats.select("column", "min", "p95")), "column").filter(outside)
-    return first_rows_of(df, odd, k, columns, long_text, row_idx)
+    return first_rows_of(df, odd, k, columns, row_idx)
 
 
 def samples(df: DataFrame, columns: Sequence[str], k: int = K.SAMPLES_KEPT,
@@ -216,33 +207,17 @@ def _ordered_list(rows: DataFrame, item: Column, name: str) -> DataFrame:
     return packed.select("column", F.transform("l", lambda s: s["x"]).alias(name))
 
 
-def looks_long(df: DataFrame, columns: Sequence[str], probe_rows: int = 1000) -> list[str]:
-    """Columns whose text averages over 200 characters at the head of the table.
-
-    Only chooses how values are keyed; results do not depend on it.
-    """
-    text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
-    if not text:
-        return []
-    row = df.select(*[F.length(quoted(c)).alias(f"l{i}") for i, c in enumerate(text)]).limit(probe_rows).agg(
-        *[F.avg(f"l{i}") for i in range(len(text))]).first()
-    return [c for c, mean in zip(text, row) if (mean or 0) > K.LONG_TEXT_LENGTH]
-
-
-def profile(df: DataFrame, columns: Sequence[str] | None = None, long_text: Sequence[str] | None = None,
-            row_idx: str = ROW_IDX) -> DataFrame:
+def profile(df: DataFrame, columns: Sequence[str] | None = None, row_idx: str = ROW_IDX) -> DataFrame:
     """A10: the deep profile, one row per column in header order."""
     columns = list(columns or [c for c in df.columns if c != row_idx])
-    long_text = looks_long(df, columns) if long_text is None else list(long_text)
-    freq = frequency_table(df, columns, long_text, row_idx).persist(StorageLevel.MEMORY_AND_DISK)
+    freq = frequency_table(df, columns, row_idx).persist(StorageLevel.MEMORY_AND_DISK)
     stats = numeric_stats(freq)
-    odd = outliers(df, freq, stats, columns, long_text, row_idx=row_idx)
+    odd = outliers(df, freq, stats, columns, row_idx=row_idx)
     top = top_values(freq)
-    if long_text:
-        digests = top.filter(F.col("column").isin(*long_text)).select("column", "rn", "first_idx")
-        named = value_texts(df, digests, columns, row_idx).select(
-            "column", "rn", js_trim(F.col("value")).alias("text"))
-        top = top.join(named, ["column", "rn"], "left").withColumn("tkey", F.coalesce("text", "tkey"))
+    # At most ten values a column: the texts behind the digests among them are read at their first rows.
+    named = value_texts(df, top.filter("long").select("column", "rn", "first_idx"), columns, row_idx).select(
+        "column", "rn", js_trim(F.col("value")).alias("text"))
+    top = top.join(named, ["column", "rn"], "left").withColumn("tkey", F.coalesce("text", "tkey"))
     header = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])
     top_item = F.struct(F.col("tkey").alias("value"), "count", "pct")
     return (

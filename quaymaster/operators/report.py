@@ -100,7 +100,7 @@ def verdict(score: DataFrame, issues: DataFrame, validation: DataFrame | None =
         F.coalesce("critical_texts", none),
         F.when(transform_ok, none).otherwise(F.coalesce("failure_texts", none)),
         F.when(failed_rows > 0, F.array(F.format_string(
-            "%d/%d sample rows would be refused", failed_rows, F.col("rows_tested")))).otherwise(none)))
+            "%d of %d tested rows would be refused", failed_rows, F.col("rows_tested")))).otherwise(none)))
     one = one.withColumn("problems", problems)
     dry_ok = F.coalesce(failed_rows == 0, F.lit(True))
     status = (

@@ -90,11 +90,14 @@ class Review:
 
 
 def review(df: DataFrame, mapping: Mapping, specs: Sequence[Transform], target: TargetSchema,
-           scope: str = "sample") -> Review:
-    """Score, validate every row, dry-run a sample, decide. Always on current transforms."""
+           scope: str = "all", sample: int | None = None) -> Review:
+    """Score, validate and dry-run every row, decide. Always on current transforms.
+
+    ``sample`` dry-runs a stratified sample of that many rows instead.
+    """
     scored = evaluate_mapping(df, mapping, target, scope=scope)
     checked = validate_output(df, specs, target)
-    tested = dry_run(apply_transforms(df, specs), target)
+    tested = dry_run(apply_transforms(df, specs), target, sample)
     return Review(scored.scores, scored.issues, checked.failures, checked.summary, tested.summary,
                   verdict(scored.scores, scored.issues, checked.summary, checked.failures, tested.summary))
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quaymaster.operators.mapping import ROW_IDX, quoted
-from quaymaster.sources.row_index import spread, with_row_index
+from quaymaster.sources.row_index import with_row_index
 
 CORRUPT = "_corrupt"
 
@@ -24,6 +24,7 @@ def read_csv(spark: SparkSession, path: str | list[str], strict: bool = True, ro
     """
     options = {"header": True, "sep": sep, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
                "multiLine": multi_line, "enforceSchema": True, "quote": '"', "escape": '"'}
+    _require_same_headers(spark, path)
     names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CORRUPT, T.StringType())])
@@ -40,19 +41,31 @@ def read_csv(spark: SparkSession, path: str | list[str], strict: bool = True, ro
         if out.isEmpty():
             raise ValueError(f"no rows in {path}")
         return out
+    # A filter is kept whatever columns a query needs, and under count() too.
     # raise_error must stay uncast: an explicit cast of it is folded to NULL.
-    ragged = F.col(CORRUPT).isNotNull()
-    stop = F.raise_error(F.concat(F.lit("wrong number of fields: "), CORRUPT))
-    if row_index:
-        return raw.select(F.when(ragged, stop).otherwise(F.col(ROW_IDX)).alias(ROW_IDX), *filled)
-    return raw.select(*[F.when(ragged, stop).otherwise(x).alias(n) for x, n in zip(filled, names)])
+    # Naming a field as well, because Spark refuses queries of the corrupt record alone.
+    stop = F.raise_error(F.concat(F.lit("wrong number of fields in the row of "), filled[0], F.lit(": "), CORRUPT))
+    return raw.filter(F.when(F.col(CORRUPT).isNotNull(), stop).otherwise(F.lit(True))).select(*head, *filled)
+
+
+def _require_same_headers(spark: SparkSession, path) -> None:
+    """One header for all files: names are taken from one of them, so another column order would mislabel rows.
+
+    Reads the first line of every file; what reaches the driver is at most two of them.
+    """
+    lines = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("p"), F.monotonically_increasing_id().alias("i"),
+        F.btrim("value", F.lit(" \t\r\ufeff")).alias("v"))
+    headers = lines.groupBy("p").agg(F.min_by("v", "i").alias("v")).groupBy("v").agg(F.min("p").alias("p")).limit(2).collect()
+    if len(headers) > 1:
+        raise ValueError(f"different header lines in {headers[0]['p']} and {headers[1]['p']}")
 
 
 def _require_array_files(spark: SparkSession, path) -> None:
     lines = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0).select(
         F.col("_metadata.file_path").alias("p"), F.monotonically_increasing_id().alias("i"),
-        F.btrim("value", F.lit(" \t\r\ufeff")).alias("v")).filter("v <> ''")
-    bad = lines.groupBy("p").agg(F.min_by("v", "i").alias("v")).filter(~F.col("v").startswith("[")).limit(1).collect()
+        F.left(F.btrim("value", F.lit(" \t\r\ufeff")), F.lit(1)).alias("v")).filter("v <> ''")
+    bad = lines.groupBy("p").agg(F.min_by("v", "i").alias("v")).filter(F.col("v") != "[").limit(1).collect()
     if bad:
         raise ValueError(f"expected a JSON array of objects in {bad[0]['p']}")
 
@@ -105,7 +118,7 @@ def read_source(spark: SparkSession, path: str, **options) -> DataFrame:
         return read_json(spark, path, **options)
     if kind == ".parquet":
         df = spark.read.parquet(path)
-        return spread(with_row_index(df) if options.get("row_index", True) else df)
+        return with_row_index(df) if options.get("row_index", True) else df
     raise ValueError(f'unsupported file extension "{kind}"; use .csv, .json, .jsonl or .parquet')
 
 

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quaymaster.session import cut_lineage
 
-# Above this many files or splits the offsets are no longer broadcast by hint.
-BROADCAST_SPLITS = 500_000
-
 
 def _offsets(counts: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Running row total before each split: one row per split, as many as Spark lists itself."""
+    """Running row total before each split: one small row per split, as many as Spark lists itself.
+
+    A split goes by a hash of its name, so a million of them (128 TB in the usual splits) make 32 MB.
+    """
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_count").over(w), F.lit(0)))
-    return F.broadcast(offsets) if counts.count() <= BROADCAST_SPLITS else offsets
+    return F.broadcast(offsets.select(F.xxhash64(*order).alias("_split"), "_offset", *[c for c in counts.columns if c not in order]))
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: str = "row_idx") -> DataFrame:
@@ -33,22 +33,12 @@ def with_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: s
     if "row_index" not in df.select("_metadata").schema["_metadata"].dataType.fieldNames():
         return _from_splits(df, columns, name)
     tagged = df.select(*columns, F.col("_metadata.file_path").alias("_path"),
-                       F.col("_metadata.row_index").alias("_row"))
+                       F.col("_metadata.row_index").alias("_row")).withColumn("_split", F.xxhash64("_path"))
     counts = tagged.groupBy("_path").agg(F.count(F.lit(1)).alias("_count")).persist()
-    return tagged.join(_offsets(counts, ["_path"]).select("_path", "_offset"), "_path").select(
+    return tagged.join(_offsets(counts, ["_path"]).select("_split", "_offset"), "_split").select(
         (F.col("_offset") + F.col("_row")).alias(name), *columns)
 
 
-def spread(df: DataFrame, most: int = 256) -> DataFrame:
-    """Even out rows over the cores when the files give fewer tasks than there are cores.
-
-    A large source has more splits than cores and is returned as it is; a few small
-    or unsplittable files would otherwise keep row-wise work on as many cores as files.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(min(cores, most))
-
-
 def _from_splits(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Text files: offset of the split plus position in the split.
 
@@ -58,10 +48,10 @@ def _from_splits(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """
     tagged = df.select(*columns, F.col("_metadata.file_path").alias("_path"),
                        F.col("_metadata.file_block_start").alias("_start"),
-                       F.monotonically_increasing_id().alias("_id"))
+                       F.monotonically_increasing_id().alias("_id")).withColumn("_split", F.xxhash64("_path", "_start"))
     counts = tagged.groupBy("_path", "_start").agg(
         F.count(F.lit(1)).alias("_count"), F.min("_id").alias("_first")).persist()
-    placed = tagged.join(_offsets(counts, ["_path", "_start"]), ["_path", "_start"], "left")
+    placed = tagged.join(_offsets(counts, ["_path", "_start"]), "_split", "left")
     at = F.col("_id") - F.col("_first")
     # raise_error must stay uncast: an explicit cast of it is folded to NULL.
     index = F.when((at >= 0) & (at < F.col("_count")), F.col("_offset") + at).otherwise(
@@ -72,7 +62,7 @@ def _from_splits(df: DataFrame, columns: list[str], name: str) -> DataFrame:
 def _from_sort(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     fixed = cut_lineage(df.orderBy(*order_by))
     tagged = fixed.select("*", F.spark_partition_id().alias("_part"),
-                          F.monotonically_increasing_id().alias("_id"))
+                          F.monotonically_increasing_id().alias("_id")).withColumn("_split", F.xxhash64("_part"))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"), F.min("_id").alias("_first")).persist()
-    return tagged.join(_offsets(counts, ["_part"]), "_part").select(
+    return tagged.join(_offsets(counts, ["_part"]), "_split").select(
         (F.col("_offset") + F.col("_id") - F.col("_first")).alias(name), *df.columns)

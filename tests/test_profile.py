@@ -63,7 +63,7 @@ def plain(df):
 
 
 def test_profile_values(spark):
-    got = {r["column"]: r for r in plain(prof.profile(messy(spark), long_text=["long"]))}
+    got = {r["column"]: r for r in plain(prof.profile(messy(spark)))}
     assert list(got) == ["word", "num", "long"]
     assert got["word"]["null_rate"] == 1 / 3 and got["word"]["unique_count"] == 21
     assert got["word"]["top_values"][0] == {"value": "hot", "count": 1000, "pct": 50.0}
@@ -73,21 +73,20 @@ def test_profile_values(spark):
     assert got["long"]["patterns"] == ["long-text"] and got["word"]["numeric_stats"] is None
 
 
-def test_profile_is_the_same_however_it_is_keyed_or_partitioned(spark):
+def test_profile_is_the_same_however_it_is_partitioned(spark):
     df = messy(spark)
-    base = plain(prof.profile(df, long_text=[]))
-    assert plain(prof.profile(df, long_text=["word", "num", "long"])) == base
+    base = plain(prof.profile(df))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "37")
     try:
-        assert plain(prof.profile(df.repartition(13, "num"), long_text=[])) == base
+        assert plain(prof.profile(df.repartition(13, "num"))) == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_all_null_column(spark):
     df = spark.createDataFrame([(0, "n/a"), (1, None)], "row_idx long, v string")
-    r = prof.profile(df, ["v"], long_text=[]).first()
+    r = prof.profile(df, ["v"]).first()
     assert (r["inferred_type"], r["null_rate"], r["patterns"], r["samples"]) == ("unknown", 1.0, ["all_null"], [])
 
 

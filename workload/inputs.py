@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymaster.model import Mapping, MappingRule, TargetColumn, TargetSchema
-from quaymaster.sources.row_index import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +40,7 @@ DIRTY_ORDERS_SQL = f"""SELECT k, {", ".join(_CASES)} FROM (
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    return spread(orders).selectExpr(*_SPARK_BASE).selectExpr("k", *_CASES)
+    return orders.selectExpr(*_SPARK_BASE).selectExpr("k", *_CASES)
 
 
 def indexed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +74,7 @@ MESSY_EVENTS_SQL = (
 
 
 def messy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spread(table(spark, sf_dir, "events")).selectExpr(
+    base = table(spark, sf_dir, "events").selectExpr(
         "*", "md5(cast(event_id AS string)) AS h", "cast(round(value*100) AS bigint) AS cents")
     return base.selectExpr(*_event_columns(
         "string", "div", "date_format(ts, 'yyyy-MM-dd HH:mm:ss')")).withColumnRenamed(

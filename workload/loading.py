@@ -253,15 +253,14 @@ def q_load_reviewed(spark, sf):
 
 
 @query("q_verdict", f"""
-SELECT CASE WHEN criticals > 0 OR score < 0.5 OR passed < 25 THEN 'blocked' WHEN score >= 0.8 AND worst <= 0.05
-  AND passed = 50 THEN 'safe' ELSE 'review' END AS status, round(score, 6) AS confidence,
- CASE WHEN worst > 0.05 THEN 'failed' ELSE 'ok' END AS validation, CASE WHEN passed < 50 THEN 'failed' ELSE 'ok' END AS dry_run,
+SELECT CASE WHEN criticals > 0 OR score < 0.5 OR passed < 0.5 * tested THEN 'blocked' WHEN score >= 0.8 AND worst <= 0.05
+  AND passed = tested THEN 'safe' ELSE 'review' END AS status, round(score, 6) AS confidence,
+ CASE WHEN worst > 0.05 THEN 'failed' ELSE 'ok' END AS validation, CASE WHEN passed < tested THEN 'failed' ELSE 'ok' END AS dry_run,
  'blocked' AS preflight
 FROM (SELECT (SELECT score FROM ({SCORES_SQL}) s WHERE candidate = 1) AS score,
  (SELECT criticals FROM ({SCORES_SQL}) s WHERE candidate = 1) AS criticals,
  (SELECT max(n) FROM (SELECT count(*) AS n FROM ({VIOLATIONS}) v GROUP BY "column") g) / (SELECT count(*) FROM orders) AS worst,
- (SELECT count(*) FROM (SELECT *, (SELECT count(*) FROM orders) AS n FROM ({TRANSFORMED}) t) x
-   WHERE ({_SAMPLED}) AND NOT {_REFUSED}) AS passed) z""")
+ (SELECT count(*) FROM ({TRANSFORMED}) t) AS tested, (SELECT count(*) FROM ({TRANSFORMED}) t WHERE NOT {_REFUSED}) AS passed) z""")
 def q_verdict(spark, sf):
     found = review(indexed_orders(spark, sf), ORDERS_MAPPING, SPECS, ORDERS_TARGET).verdict
     return preflight_status(found).select("status", F.round("confidence", 6).alias("confidence"), "validation",

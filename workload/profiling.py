@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quaymaster import constants as K
 from quaymaster.operators import profile as prof
 from quaymaster.operators.topk import first_k_per_group
-from quaymaster.sources.row_index import spread
 from workload.inputs import (
     DIRTY_ORDERS_SQL as DIRTY, MESSY_EVENTS_SQL as EVENTS, indexed_orders, messy_events, table,
 )
@@ -35,14 +34,14 @@ LIVE = f"(NOT {nullish('value')})"
 
 def _docs(spark, sf):
     docs = table(spark, sf, "documents").select(c("doc_id").alias("row_idx"), "text", "lang", "source")
-    return spread(docs)
+    return docs
 
 
 def _freq(spark, sf, which="orders"):
     if which == "orders":
         return prof.frequency_table(indexed_orders(spark, sf), ORDER_COLUMNS)
     if which == "docs":
-        return prof.frequency_table(_docs(spark, sf), ["text", "lang", "source"], ["text"])
+        return prof.frequency_table(_docs(spark, sf), ["text", "lang", "source"])
     return prof.frequency_table(messy_events(spark, sf), EVENT_COLUMNS)
 
 

@@ -41,7 +41,7 @@ def _steps_sql(rates: str) -> str:
 
 @query("q_cast_score", _steps_sql(_rates_sql(True)))
 def q_cast_score(spark, sf):
-    r = ev.cast_rates(indexed_orders(spark, sf), PAIRS)
+    r = ev.cast_rates(indexed_orders(spark, sf), PAIRS, scope="sample")
     return r.select("source", "transformation", F.round("rate", 6).alias("rate"),
                     ev.cast_step(c("rate")).alias("cast_score"))
 
@@ -102,7 +102,7 @@ SELECT {n} AS candidate, type_score, null_score, unique_score, {1 - missing / 2}
   sum(cast(required AND null_rate > 0.5 AS int)) AS c2,
   sum(CASE WHEN unique_count < total_count - total_count * null_rate THEN key_use ELSE 0 END) AS c3
  FROM ({rules}) r JOIN ({_STATS_SQL}) s USING (source)
- JOIN ({_steps_sql(_rates_sql(True))}) p USING (source, transformation)) a"""
+ JOIN ({_steps_sql(_rates_sql(False))}) p USING (source, transformation)) a"""
 
 
 SCORES_SQL = " UNION ALL ".join(_score_sql(n, m) for n, m in enumerate(CANDIDATES))
@@ -127,11 +127,11 @@ def q_best_mapping(spark, sf):
 @query("q_issues", f"""
 SELECT 1 AS section, 'price_txt' AS "column", 'warning' AS severity, n AS n_examples FROM (
   SELECT least(3, count(*)) AS n FROM ({LONG_ORDERS}) l WHERE "column" = 'price_txt' AND value <> ''
-   AND NOT ({t('value')} = '' OR {_ok('to_number')})) a WHERE (SELECT cast_score FROM ({_steps_sql(_rates_sql(True))}) r
+   AND NOT ({t('value')} = '' OR {_ok('to_number')})) a WHERE (SELECT cast_score FROM ({_steps_sql(_rates_sql(False))}) r
    WHERE source = 'price_txt' AND transformation = 'to_number') BETWEEN 0.1 AND 0.69
-UNION ALL SELECT 1, 'flag_txt', 'warning', 3 FROM ({_steps_sql(_rates_sql(True))}) r
+UNION ALL SELECT 1, 'flag_txt', 'warning', 3 FROM ({_steps_sql(_rates_sql(False))}) r
  WHERE source = 'flag_txt' AND transformation = 'to_boolean' AND cast_score BETWEEN 0.1 AND 0.69
-UNION ALL SELECT 1, 'date_txt', 'warning', 3 FROM ({_steps_sql(_rates_sql(True))}) r
+UNION ALL SELECT 1, 'date_txt', 'warning', 3 FROM ({_steps_sql(_rates_sql(False))}) r
  WHERE source = 'date_txt' AND transformation = 'to_date' AND cast_score BETWEEN 0.1 AND 0.69
 UNION ALL SELECT 2, source, CASE WHEN null_rate > 0.5 THEN 'critical' ELSE 'warning' END, 0
  FROM ({_STATS_SQL}) s WHERE source IN ('cust_txt', 'price_txt') AND null_rate > 0.2
