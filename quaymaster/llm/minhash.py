@@ -2,8 +2,10 @@
 
 Texts with the same words are one class and take part once. Within a bucket of equal
 band values every class is compared with the smallest one, so thousands of near
-copies make thousands of pairs, not millions. Only classes of a bucket that these
-comparisons leave in different components are then compared with each other.
+copies make thousands of pairs, not millions. Classes of a bucket that these comparisons
+leave in different components are compared with each other only where they share one of
+their rarest shingles, as every pair of the wanted similarity must (prefix filter): what
+makes a bucket large is what its members have in common, and that comes last.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quaymaster.llm.common import blocks, struct, written
 from quaymaster.llm.components import components
@@ -144,14 +146,57 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets reach the similarity."""
+def _shingle_rows(batches):
+    for part in blocks(batches, "text", BLOCK_BYTES):
+        known: dict[bytes, int] = {}
+        ids, found = [], []
+        for node, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
+            words = words_of(text)
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
+            found.append(shingle_hashes(np.array([known[w] for w in words], np.uint64)) if words else np.zeros(0, np.uint64))
+            ids.append(node)
+        flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(f) for f in found])), pa.array(flat)], names=["node", "shingle"])
+
+
+def _across(groups: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``groups`` (node, component, n_shingles) in different components that share a shingle of their prefixes.
+
+    With the shingles of every node in one order, rarest first, a pair of the similarity shares one
+    of the first n - ceil(similarity * n) + 1 of each. Nothing before the first shared shingle is common,
+    so its places bound what the pair can have in common. Shingles that one node has are counted, not kept.
+    """
+    rows = written(texts.mapInArrow(_shingle_rows, struct("node long, shingle long")), "near-shingles")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("f")).filter("f > 1")
+    mine = Window.partitionBy("node")
+    n = F.col("n_shingles")
+    first = (rows.join(shared, "shingle").join(groups, "node")
+             .withColumn("place", F.row_number().over(mine.orderBy("f", "shingle")) + n - F.count("*").over(mine))
+             .filter(F.col("place") <= n - F.ceil(n * percent / 100) + 1))
+    tokens = written(first.select("shingle", "node", "component", "n_shingles", (n - F.col("place") + 1).alias("rest")), "near-prefixes")
+    apart = tokens.groupBy("shingle").agg((F.min("component") != F.max("component")).alias("apart")).filter("apart").select("shingle")
+    left = tokens.join(apart, "shingle")
+    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n_shingles", "rest")])
+    fits = (F.col("component") != F.col("component_b")) & (
+        (100 + percent) * F.least("rest", "rest_b") >= percent * (F.col("n_shingles") + F.col("n_shingles_b")))
+    return (left.join(right, "shingle").filter(fits & (F.col("node") < F.col("node_b")))
+            .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return written(docs.join(ids, "id"), "near-texts")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets reach the similarity; ``docs`` has id, text."""
     sized = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("sig_a")), "a").join(
         nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sig_b")), "b")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     alive = written(sized.filter(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent / 100), struct("a long, b long")), "near-pairs")
     ends = alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct()
-    texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ends, "id"), "near-texts")
+    texts = _texts(docs, ends)
     both = (alive.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
     return written(both.mapInArrow(_confirm(percent), struct("a long, b long")), "near-links")
@@ -176,16 +221,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
                     .groupBy("words_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
     buckets = _buckets(nodes)
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = written(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
+    shared = written(buckets.join(hubs.select("bucket", "hub"), "bucket"), "near-buckets")
     stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(stars, nodes, docs, percent, id_col, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    links = _confirmed(stars, nodes, texts, percent)
     groups = components(links)
-    labelled = (shared.join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), "hub"))
+    labelled = shared.join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     apart = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("apart")).filter("apart").select("bucket")
-    left = written(labelled.join(apart, "bucket"), "apart")
-    one, two = left.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), "hub"), left.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = one.join(two, "bucket").filter("a < b and ca <> cb and a <> hub").select("a", "b").distinct()
-    more = _confirmed(across, nodes, docs, percent, id_col, text_col)
+    left = written(labelled.join(apart, "bucket").select("node", "component").distinct().join(nodes.select("node", "n_shingles"), "node"), "near-apart")
+    left_texts = _texts(texts, left.select(F.col("node").alias("id")))
+    more = _confirmed(_across(left, left_texts, percent), nodes, left_texts, percent)
     groups = components(links.union(more))
     labels = nodes.join(groups, "node", "left").select("words_key", F.coalesce("component", "node").alias("component"))
     same_id = sketches.select("id", "n_shingles", "words_key").join(labels, "words_key", "left")
