@@ -119,6 +119,35 @@ def check_constraints(df: DataFrame, target: TargetSchema, unique: Sequence[Sequ
     return out.select(*[quoted(c) for c in df.columns], *extra)
 
 
+def unique_clashes(df: DataFrame, target: TargetSchema, keys: Sequence[str], existing: DataFrame | None = None) -> DataFrame:
+    """``errors`` extended by unique values that rows of another key hold, in these rows or in the ``existing`` table.
+
+    Rows with the same key are one row after the upsert and do not clash. Of different
+    keys sharing a value the one met first is good. Only values that are really shared
+    are joined back; both sides are reduced to one row per value before.
+    """
+    out = df
+    for group in target.other_unique(keys):
+        if any(c not in df.columns for c in (*group, *keys)):
+            continue
+        mine = F.struct(*[quoted(k).alias(k) for k in keys])
+        shared = (df.filter(_all_set(group)).groupBy(*group)
+                  .agg(F.min_by(mine, ROW_IDX).alias("_first"), F.min(mine).alias("_lo"), F.max(mine).alias("_hi"))
+                  .filter("_lo <> _hi").select(*group, "_first"))
+        out = out.join(shared, list(group), "left")
+        hit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(mine)
+        if existing is not None:
+            theirs = F.struct(*[quoted(k).cast(df.schema[k].dataType).alias(k) for k in keys])
+            held = (existing.select(*[quoted(c).cast(df.schema[c].dataType).alias(c) for c in group], theirs.alias("_key"))
+                    .filter(_all_set(group)).groupBy(*group).agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi")))
+            out = out.join(held, list(group), "left")
+            hit = hit | (F.col("_lo").isNotNull() & ~(F.col("_lo").eqNullSafe(mine) & F.col("_hi").eqNullSafe(mine)))
+        name = ", ".join(group)
+        found = collect_errors([error(hit, group[0], K.DUPLICATE_KEY, f"unique value ({name}) belongs to another key", quoted(group[0]))])
+        out = out.withColumn("errors", merge_errors(F.col("errors"), found)).select(*[quoted(c) for c in df.columns])
+    return out
+
+
 @dataclass
 class DryRun:
     rows: DataFrame
@@ -126,10 +155,16 @@ class DryRun:
 
 
 def dry_run(df: DataFrame, target: TargetSchema, sample: int | None = K.DRY_RUN_SAMPLE,
-            total: int | None = None, **checks) -> DryRun:
-    """V9: would these rows be accepted? Nothing is written. ``sample=None`` tests all rows."""
+            total: int | None = None, keys: Sequence[str] | None = None, existing: DataFrame | None = None, **checks) -> DryRun:
+    """V9: would these rows be accepted? Nothing is written. ``sample=None`` tests all rows.
+
+    With ``keys`` an upsert by them is meant: they may not be NULL, and the other unique
+    groups are tested within the rows and against the ``existing`` table.
+    """
     tested = df if sample is None else stratified_sample(df, sample, total)
-    rows = check_constraints(tested, target, **checks)
+    rows = check_constraints(tested, target.keyed_by(keys or ()), **checks)
+    if keys:
+        rows = unique_clashes(rows, target, keys, existing)
     summary = rows.agg(F.count(F.lit(1)).alias("rows_tested"),
                        F.count(F.when(~has_errors(), 1)).alias("rows_passed"))
     return DryRun(rows, summary.withColumn("success", F.col("rows_tested") == F.col("rows_passed")))

@@ -36,8 +36,8 @@ def upsert_by_key(target: DataFrame, source: DataFrame, keys: Sequence[str],
                   defaults: MappingABC[str, object] | None = None, row_idx: str = ROW_IDX) -> DataFrame:
     """M1: the merged table, with ``_action`` keep / update / insert.
 
-    Only supplied columns change. Keys alone mean insert if absent. Rows with a
-    NULL key never match and must be split off before (``split_null_keys``).
+    Only supplied columns change. Keys alone mean insert if absent. A row with a NULL
+    key matches nothing and raises; split such rows off before (``split_null_keys``).
 
     The delta is reduced to one row per key and held, so the planner knows its
     true size: a small one is broadcast and the target is not shuffled at all; a
@@ -53,7 +53,12 @@ def upsert_by_key(target: DataFrame, source: DataFrame, keys: Sequence[str],
     if unknown or not keys or any(k not in supplied for k in keys):
         raise ValueError(f"keys {list(keys)} must be supplied and columns {unknown} must exist on the target")
     payload = [c for c in supplied if c not in keys]
-    typed = source.filter(_all_set(keys)).select(row_idx, *[quoted(c).cast(types[c]).alias(c) for c in supplied])
+    # raise_error must stay uncast: an explicit cast of it is folded to NULL.
+    stop = F.raise_error(F.concat(F.lit(f"no complete key ({', '.join(keys)}) in row "), F.col(row_idx).cast("string")))
+    # In the projection, not in a filter: filters may be moved before what removed such rows.
+    key = quoted(keys[0]).cast(types[keys[0]])
+    typed = source.select(row_idx, F.when(~_all_set(keys), stop).otherwise(key).alias(keys[0]),
+                          *[quoted(c).cast(types[c]).alias(c) for c in supplied if c != keys[0]])
     delta = latest_per_key(typed, keys, row_idx).persist(StorageLevel.MEMORY_AND_DISK)
     delta.count()
 

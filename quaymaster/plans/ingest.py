@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quaymaster import constants as K
 from quaymaster.model import FixRule, Mapping, MappingHints, TargetSchema, Transform
-from quaymaster.operators.constraints import check_constraints, dry_run
+from quaymaster.operators.constraints import check_constraints, dry_run, duplicate_keys, unique_clashes
 from quaymaster.operators.evaluate import evaluate_mapping
 from quaymaster.operators.mapping import (
     ROW_IDX, apply_mapping, apply_transforms, dropped_columns, retain_target, split_empty_rows,
@@ -28,10 +28,12 @@ from quaymaster.operators.validate import split_valid, validate_output
 
 @dataclass
 class Ingestion:
+    """``duplicates``: accepted keys met in several source rows, of which the last wins."""
     merged: DataFrame
     rows: DataFrame
     report: DataFrame
     warnings: tuple[str, ...]
+    duplicates: DataFrame
 
 
 def _source_columns(df: DataFrame) -> list[str]:
@@ -46,14 +48,22 @@ def analyze(df: DataFrame, mapping: Mapping, target: TargetSchema,
 
 
 def bucketed_rows(df: DataFrame, mapping: Mapping, target: TargetSchema, rules: Sequence[FixRule] = (),
-                  max_retries: int = K.MAX_RETRIES, safe_mode: bool = True) -> tuple[DataFrame, DataFrame]:
+                  max_retries: int = K.MAX_RETRIES, safe_mode: bool = True, keys: Sequence[str] = (),
+                  existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(every input row in its bucket, the coercion warnings).
 
+    With ``keys`` rows without a complete key and rows whose unique values belong to
+    another key, here or in the ``existing`` table, are rejects too.
+
     The checked rows are held (memory, then disk): good rows, rejects and warnings
     are three readings of them, and coercion should run once per row.
     """
     full, empty = split_empty_rows(df, mapping)
-    checked = check_constraints(apply_mapping(full, mapping, target), target).persist(StorageLevel.MEMORY_AND_DISK)
+    target = target.keyed_by(keys)
+    checked = check_constraints(apply_mapping(full, mapping, target), target)
+    if keys:
+        checked = unique_clashes(checked, target, keys, existing)
+    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     good, bad = split_valid(checked)
     # Good rows take the target's types, as the repaired ones do.
     typed = good.select(ROW_IDX, *[
@@ -71,12 +81,12 @@ def run_ingestion(df: DataFrame, mapping: Mapping, target: TargetSchema, target_
         raise ValueError("no rows in the source")
     columns = _source_columns(df)
     resolved = mapping.resolve(columns, target, hints)
-    rows, coercion = bucketed_rows(df, resolved, target, rules, max_retries, safe_mode)
+    rows, coercion = bucketed_rows(df, resolved, target, rules, max_retries, safe_mode, keys, target_df)
     accepted = rows.filter(F.col("bucket").isin("loaded", "repaired"))
     supplied = retain_target(accepted, target).drop("errors")
     merged = upsert_by_key(target_df, supplied, keys, target.default_values())
     report = ingestion_report(rows, resolved.warnings, dropped_columns(df, resolved, target), coercion)
-    return Ingestion(merged, rows, report, resolved.warnings)
+    return Ingestion(merged, rows, report, resolved.warnings, duplicate_keys(accepted, keys, ROW_IDX))
 
 
 @dataclass
@@ -90,14 +100,16 @@ class Review:
 
 
 def review(df: DataFrame, mapping: Mapping, specs: Sequence[Transform], target: TargetSchema,
-           scope: str = "all", sample: int | None = None) -> Review:
+           scope: str = "all", sample: int | None = None, keys: Sequence[str] | None = None,
+           existing: DataFrame | None = None) -> Review:
     """Score, validate and dry-run every row, decide. Always on current transforms.
 
-    ``sample`` dry-runs a stratified sample of that many rows instead.
+    ``sample`` dry-runs a stratified sample of that many rows instead. ``keys`` (the primary
+    key unless given) are those of the later upsert into the ``existing`` table.
     """
     scored = evaluate_mapping(df, mapping, target, scope=scope)
     checked = validate_output(df, specs, target)
-    tested = dry_run(apply_transforms(df, specs), target, sample)
+    tested = dry_run(apply_transforms(df, specs), target, sample, keys=keys or target.primary_key, existing=existing)
     return Review(scored.scores, scored.issues, checked.failures, checked.summary, tested.summary,
                   verdict(scored.scores, scored.issues, checked.summary, checked.failures, tested.summary))
 
@@ -107,7 +119,8 @@ def load_reviewed(df: DataFrame, specs: Sequence[Transform], target: TargetSchem
                   batch: int = K.BATCH_ROWS) -> tuple[DataFrame, DataFrame]:
     """(merged table, outcome per batch) with all-or-nothing batches."""
     target.check_keys(keys)
-    rows = check_constraints(apply_transforms(df, specs, enabled), target).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = check_constraints(apply_transforms(df, specs, enabled), target.keyed_by(keys))
+    rows = unique_clashes(rows, target, keys, target_df).persist(StorageLevel.MEMORY_AND_DISK)
     outcome = batch_outcome(rows, batch)
     # Held and counted so that the planner knows how many batches failed.
     failed = outcome.filter("failed").select((F.col("batch") - 1).alias("_batch")).persist()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaymaster.model import FixRule, TargetColumn, TargetSchema
+from quaymaster.model import FixRule, Mapping, MappingRule, TargetColumn, TargetSchema
 from quaymaster.operators.constraints import (
-    ForeignKey, canonicalize, check_constraints, dry_run, duplicate_keys, foreign_key_gaps,
+    ForeignKey, canonicalize, check_constraints, dry_run, duplicate_keys, foreign_key_gaps, unique_clashes,
 )
-from quaymaster.operators.errors import error_count
+from quaymaster.operators.errors import ERROR_TYPE, error_count, has_errors
 from quaymaster.operators.mapping import apply_transforms
 from quaymaster.operators.merge import batch_outcome, upsert_by_key
 from quaymaster.operators.repair import fix_log
@@ -252,6 +252,67 @@ def q_load_reviewed(spark, sf):
     return merged.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd"))
 
 
+# --- what an upsert refuses ------------------------------------------------------------------------
+
+NULLABLE_TARGET = TargetSchema("by_customer", (TargetColumn("customer_id", "integer", udt_name="int4"),), primary_key=("customer_id",))
+KEY_MAPPING = Mapping((MappingRule("cust_txt", "customer_id"),))
+
+
+def _key_load(spark, sf):
+    return run_ingestion(indexed_orders(spark, sf), KEY_MAPPING, NULLABLE_TARGET,
+                         _customers(spark, sf).select("customer_id"), ["customer_id"])
+
+
+@query("q_null_key_rejects", f"""
+SELECT k AS row_idx, cast(cust_txt AS int) AS customer_id, CASE WHEN cust_txt IS NULL THEN 'unresolved' ELSE 'loaded' END AS bucket
+FROM ({DIRTY}) d""")
+def q_null_key_rejects(spark, sf):
+    """A NULL conflict key is a reject even where the column itself may be NULL."""
+    return _key_load(spark, sf).rows.select("row_idx", "customer_id", "bucket")
+
+
+@query("q_upsert_duplicates", f"""
+SELECT cast(cust_txt AS int) AS customer_id, count(*) AS "rows", min(k) AS first_idx, max(k) AS last_idx
+FROM ({DIRTY}) d WHERE cust_txt IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+def q_upsert_duplicates(spark, sf):
+    return _key_load(spark, sf).duplicates
+
+
+@query("q_load_invariant", f"""
+SELECT count(*) AS rows_in, count(cust_txt) AS accepted, count(*) - count(cust_txt) AS rejected,
+ count(DISTINCT cust_txt) AS keys, count(DISTINCT cust_txt) AS changed FROM ({DIRTY}) d""")
+def q_load_invariant(spark, sf):
+    """Every row is accepted or rejected; every accepted key is one insert or one match in the target."""
+    done = _key_load(spark, sf)
+    accepted = F.col("bucket").isin("loaded", "repaired")
+    rows = done.rows.agg(F.count("*").alias("rows_in"), F.count(F.when(accepted, 1)).alias("accepted"),
+                         F.count(F.when(~accepted, 1)).alias("rejected"),
+                         F.count_distinct(F.when(accepted, F.col("customer_id"))).alias("keys"))
+    known = _customers(spark, sf).select("customer_id").join(done.rows.filter(accepted).select("customer_id").distinct(), "customer_id").agg(
+        F.count("*").alias("matched"))
+    inserted = done.merged.filter("_action = 'insert'").agg(F.count("*").alias("inserted"))
+    return rows.join(F.broadcast(known)).join(F.broadcast(inserted)).select(
+        "rows_in", "accepted", "rejected", "keys", (c("matched") + c("inserted")).alias("changed"))
+
+
+NAMED_TARGET = TargetSchema("named", (TargetColumn("id", "bigint", nullable=False), TargetColumn("name", "text")),
+                            primary_key=("id",), unique=(("name",),))
+
+
+@query("q_unique_against_target", """
+SELECT c_custkey AS row_idx, c_custkey % 3 = 1 OR c_custkey % 4 = 1 AS refused FROM customer""")
+def q_unique_against_target(spark, sf):
+    """Names under another id: of the table (every third row moves to a new id) or of an earlier row (every fourth
+    row is met again under its own id after a row of another id took its name)."""
+    customers = table(spark, sf, "customer").select(c("c_custkey").cast("bigint").alias("k"), "c_name")
+    existing = customers.filter("k % 3 = 1").select(c("k").alias("id"), c("c_name").alias("name"))
+    rows = customers.select(c("k").alias("row_idx"), F.when(c("k") % 3 == 1, -c("k") - 1).otherwise(c("k")).alias("id"),
+                            c("c_name").alias("name"))
+    earlier = customers.filter("k % 4 = 1").select((-c("k") - 1).alias("row_idx"), (c("k") + 10_000_000).alias("id"), c("c_name").alias("name"))
+    rows = rows.unionByName(earlier).withColumn("errors", F.lit(None).cast(ERROR_TYPE))
+    return unique_clashes(rows, NAMED_TARGET, ["id"], existing).filter("row_idx >= 0").select("row_idx", has_errors().alias("refused"))
+
+
 @query("q_verdict", f"""
 SELECT CASE WHEN criticals > 0 OR score < 0.5 OR passed < 0.5 * tested THEN 'blocked' WHEN score >= 0.8 AND worst <= 0.05
   AND passed = tested THEN 'safe' ELSE 'review' END AS status, round(score, 6) AS confidence,
