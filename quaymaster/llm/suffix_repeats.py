@@ -2,8 +2,9 @@
 
 Equal windows of 400 bytes have the same anchor (least hash of their 32-byte grams), so
 runs of windows with one anchor, the contexts, need to be compared only with contexts of
-that anchor. Equal contexts are counted first. What differs goes to a suffix array per
-shard of anchors, whose common-prefix interval tree gives the maximal repeats with all
+that anchor. Equal contexts are counted first. Of what differs, contexts that share the half
+of a window before or after the anchor with no other cannot share a window and go no
+further. The rest goes to a suffix array per shard of anchors, whose common-prefix interval tree gives the maximal repeats with all
 occurrences. An anchor with very many different contexts is not gathered in one shard: its
 windows are anchored again with grams nearly as long as a window, and in the end with the
 windows themselves, which counting alone decides.
@@ -29,39 +30,65 @@ HOT_CONTEXTS = 2_048  # an anchor with more different contexts than this is anch
 RUN = 512  # longer runs of windows with one anchor are several contexts
 SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
-CONTEXTS = "anchor long, context long, key binary, id long, start int, windows int, inner boolean"
+CONTEXTS = "anchor long, context long, key binary, id long, start int, windows int, inner boolean, before long, after long"
 SLICES = "anchor long, context long, key binary, id long, start int, times long, body binary"
 SPANS = "key binary, id long, begin int, end int"
 
 
-def suffix_array(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Rank of each pair of non-negative numbers among the different pairs."""
+    bits = [int(x.max()).bit_length() for x in (first, second)] + [len(first).bit_length()]
+    if sum(bits) > 62:
+        return np.unique(first.astype(np.int64) * (int(second.max()) + 1) + second, return_inverse=True)[1]
+    # Pair and place in one number: sorting numbers is several times faster than sorting places by number.
+    packed = np.sort((first << bits[1] | second) << bits[2] | np.arange(len(first)))
+    pair, place = packed >> bits[2], packed & (1 << bits[2]) - 1
+    rank = np.empty(len(first), np.int64)
+    rank[place] = np.cumsum(np.diff(pair, prepend=pair[:1]) != 0)
+    return rank
+
+
+def _ahead(rank: np.ndarray, places: np.ndarray | None, step: int) -> np.ndarray:
+    """Ranks ``step`` further on plus one, 0 beyond the end."""
+    if places is None:
+        return np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)])
+    at = places + step
+    return np.where(at < len(rank), rank[np.minimum(at, len(rank) - 1)] + 1, 0)
+
+
+def suffix_array(bodies: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(suffixes in order, common prefix with the one before, body of each place, start of each body).
 
-    By prefix doubling. Each body ends in a symbol of its own, so no common prefix crosses bodies.
+    Only suffixes that share ``least`` bytes with another are listed. By prefix doubling up to
+    ``least``, then by as many ranks of that width as the longest body has. Each body ends in a
+    symbol of its own, so no common prefix crosses bodies.
     """
     n = len(bodies)
     lengths = np.array([len(b) + 1 for b in bodies])
     starts = np.cumsum(lengths) - lengths
-    symbols = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) + n
-    symbols[starts + lengths - 1] = np.arange(n)
-    rank = np.unique(symbols, return_inverse=True)[1]
+    rank = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) + n
+    rank[starts + lengths - 1] = np.arange(n)
     levels, width = [rank], 1
-    while True:
-        ahead = np.zeros_like(rank)
-        ahead[:-width] = rank[width:] + 1
-        rank = np.unique(rank * (len(rank) + 2) + ahead, return_inverse=True)[1]
+    while width * 2 <= least:
+        rank = _ranks(rank, _ahead(rank, None, width))
         width *= 2
         levels.append(rank)
-        if rank.max() == len(rank) - 1 or width >= lengths.max():
-            break
-    order = np.argsort(rank, kind="stable")
+    shared = _ranks(rank, _ahead(rank, None, least - width))
+    places = np.flatnonzero(np.bincount(shared)[shared] > 1)
+    steps = range(0, int(lengths.max()), width)
+    order = places[np.lexsort([_ahead(rank, places, step) for step in reversed(steps)])] if len(places) else places
     prefix = np.zeros(len(order), np.int64)
-    a, b, size = order[:-1].copy(), order[1:].copy(), len(rank)
-    for level in reversed(range(len(levels))):
-        inside = (a < size) & (b < size)
-        same = np.zeros(len(a), bool)
-        same[inside] = levels[level][a[inside]] == levels[level][b[inside]]
-        step = same.astype(np.int64) << level
+    a, b = order[:-1].copy(), order[1:].copy()
+    same = np.ones(len(a), bool)
+    for level in [len(levels) - 1] * len(steps) + list(reversed(range(len(levels) - 1))):
+        whole = level == len(levels) - 1
+        inside = (a < len(rank)) & (b < len(rank))
+        equal = np.zeros(len(a), bool)
+        equal[inside] = levels[level][a[inside]] == levels[level][b[inside]]
+        if whole:  # widths follow one another until the first that differs
+            same &= equal
+            equal = same
+        step = equal.astype(np.int64) << level
         a, b = a + step, b + step
         prefix[1:] += step
     return order, prefix, np.repeat(np.arange(n), lengths), starts
@@ -75,13 +102,14 @@ def maximal_repeats(bodies: list[bytes], least: int = WINDOW) -> Iterator[tuple[
     """
     if not bodies:
         return
-    order, prefix, body, starts = suffix_array(bodies)
+    order, prefix, body, starts = suffix_array(bodies, least)
     place = order - starts[body[order]]
     flat = b"\0".join(bodies)
     left = np.where(place == 0, -1 - order, np.frombuffer(b"\0" + flat + b"\0", np.uint8)[order].astype(np.int64))
     runs = np.flatnonzero(prefix >= least)
-    for run in np.split(runs, np.flatnonzero(np.diff(runs) > 1) + 1) if len(runs) else ():
-        first, last = int(run[0]) - 1, int(run[-1])
+    begins = runs[np.diff(runs, prepend=-2) > 1] - 1
+    ends = runs[np.diff(runs, append=len(prefix) + 1) > 1]
+    for first, last in zip(begins.tolist(), ends.tolist()):
         lcp, before = prefix[first:last + 1].tolist(), left[first:last + 1].tolist()
         # Open intervals: (common prefix, first suffix, the byte before all of them or None if they differ).
         stack: list[tuple[int, int, int | None]] = []
@@ -124,10 +152,14 @@ def _context_rows(gram: int, ranged: bool):
     """Contexts of all windows, or of the windows listed in ``ranges`` (start, windows).
 
     ``inner`` tells that the anchor occurs more than once in the context, so that windows may repeat within it.
+    ``before`` and ``after`` are hashes of the anchor with half of the rest of a window on one side, where the
+    context has so much: every window of the context has one of the two.
     """
+    half = (WINDOW - gram) // 2
+    digest = lambda b, side: xxhash.xxh3_64_intdigest(b, side) >> 1
     def run(batches):
         for part in blocks(batches, "text", BLOCK_BYTES):
-            columns: list[list] = [[], [], [], [], [], [], []]
+            columns: list[list] = [[] for _ in range(9)]
             ranges = part.column("ranges").to_pylist() if ranged else [None] * part.num_rows
             for key, doc_id, text, listed in zip(part.column("key").to_pylist(), part.column("id").to_pylist(), part.column("text").to_pylist(), ranges):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -141,12 +173,17 @@ def _context_rows(gram: int, ranged: bool):
                     for a, b in zip([begin, *cuts.tolist()], [*cuts.tolist(), end]):
                         for at in range(a, b, RUN):
                             upto = min(at + RUN, b)
-                            inner = np.count_nonzero(grams[at:upto + WINDOW - gram] == least[at]) > 1
-                            for column, value in zip(columns, (least[at], xxhash.xxh3_64_intdigest(raw[at:upto + WINDOW - 1]), key, doc_id, at, upto - at, inner)):
+                            stop = upto + WINDOW - 1
+                            anchor = np.flatnonzero(grams[at:stop - gram + 1] == least[at])
+                            where = at + int(anchor[0])
+                            before = digest(raw[where - half:where + gram], 1) if where - half >= at else None
+                            after = digest(raw[where:where + gram + half], 2) if where + gram + half <= stop else None
+                            for column, value in zip(columns, (least[at], xxhash.xxh3_64_intdigest(raw[at:stop]), key, doc_id, at, upto - at,
+                                                               len(anchor) > 1, before, after)):
                                 column.append(value)
             columns[1] = np.array(columns[1], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))],
-                                             names=["anchor", "context", "key", "id", "start", "windows", "inner"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))],
+                                             names=["anchor", "context", "key", "id", "start", "windows", "inner", "before", "after"])
     return run
 
 
@@ -185,11 +222,19 @@ def repeated_places(texts: DataFrame) -> DataFrame:
             again = contexts.groupBy("anchor").agg(F.sum("windows").alias("n")).filter("n > 1").select("anchor")
             found.append(place.join(again, "anchor").select("key", "id", "begin", "end"))
             break
-        counted = written(contexts.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("key", "id", "start", "windows", "inner")).alias("at")), "repeat-counts")
+        counted = written(contexts.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("key", "id", "start", "windows", "inner", "before", "after")).alias("at")), "repeat-counts")
         again = counted.filter("times > 1").select("anchor", "context")
         found.append(place.join(again, ["anchor", "context"]).select("key", "id", "begin", "end"))
-        kinds = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("at.inner").cast("int")).alias("inner")).filter("kinds > 1 or inner = 1").select("anchor", "kinds")
-        differing = written(counted.join(kinds, "anchor").select("anchor", "context", "times", "at.*", "kinds"), "repeat-differing")
+        kinds = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("at.inner").cast("int")).alias("inner")).filter("kinds > 1 or inner = 1")
+        several = written(counted.select("anchor", "context", "times", "at.key", "at.id", "at.start", "at.windows", "at.before", "at.after")
+                          .join(kinds.select("anchor", "inner"), "anchor"), "repeat-several")
+        # An anchor that occurs twice in a context may be met at either place: such anchors keep all contexts.
+        sides = several.filter("inner = 0").select("anchor", "context", F.explode(F.array_compact(F.array("before", "after"))).alias("side"))
+        met = sides.groupBy("anchor", "side").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "side")
+        near = (sides.join(met, ["anchor", "side"]).select("anchor", "context")
+                .union(several.filter("inner = 1").select("anchor", "context")).distinct())
+        kept = several.drop("before", "after", "inner").join(near, ["anchor", "context"])
+        differing = written(kept.join(near.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "repeat-differing")
         cold, hot = differing.filter(F.col("kinds") <= HOT_CONTEXTS), differing.filter(F.col("kinds") > HOT_CONTEXTS)
         total = cold.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
         shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, math.ceil(total / SHARD_BYTES))))
