@@ -31,8 +31,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that start more than once in what is left; no document goes."""
-    return suffix_repeats.without_repeats(docs)
+    """Texts without strings of 400 bytes that start more than once in what is left; no document goes.
+
+    ``n_chars`` follows the text.
+    """
+    shorter = suffix_repeats.without_repeats(docs)
+    length = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return shorter.select(*[length.alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
