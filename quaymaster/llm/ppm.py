@@ -23,7 +23,7 @@ from quaymaster.llm.common import SHARD_BYTES, shard_count, shard_of, struct, wr
 ORDER = 4  # bytes of context
 START, END = 0xFF, 0xFE  # neither occurs in UTF-8: what stands before a text, and the symbol after it
 SYMBOLS = 255  # 256 bytes without START
-PIECE = 1 << 21
+PIECE, COUNTED = 1 << 17, 1 << 21  # grams scored and grams counted at a time
 END_WORD = b""  # no word is empty
 PARTS = "shard int, word binary, gram long, n long"
 SCORES = "held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -33,8 +33,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and the six ASCII spaces
 
 
-def gram_pieces(texts: Sequence[str | None], order: int = ORDER, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(grams, text of each gram) in pieces of about ``limit``: a gram is a symbol after ``order`` bytes of context."""
+def gram_pieces(texts: Sequence[str | None], order: int = ORDER, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(grams, start of each part of a text, its text) in pieces of about ``limit``: a gram is a symbol after ``order`` bytes of context."""
     held, rows, size = [], [], 0
     lead = bytes([START]) * order
     for row, text in enumerate(texts):
@@ -50,7 +50,7 @@ def gram_pieces(texts: Sequence[str | None], order: int = ORDER, limit: int = PI
         yield _grams(held, rows, order)
 
 
-def _grams(parts: list[bytes], rows: list[int], order: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(parts: list[bytes], rows: list[int], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer(b"".join(parts), np.uint8)
     lengths = np.array([len(p) for p in parts])
     grams = np.zeros(len(codes) - order, np.int64)
@@ -60,12 +60,48 @@ def _grams(parts: list[bytes], rows: list[int], order: int) -> tuple[np.ndarray,
     starts = np.cumsum(lengths) - lengths
     own = np.ones(len(codes), bool)
     own[(starts[:, None] + np.arange(order)).ravel()] = False
-    return grams[own[order:]], np.repeat(np.array(rows), lengths - order)
+    return grams[own[order:]], starts - order * np.arange(len(parts)), np.array(rows)
+
+
+class GramTable:
+    """Values by gram, looked up many at a time: grams alone in their hash slot are found at once, the others a level further."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.levels: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        while len(grams):
+            bits = (4 * len(grams)).bit_length()
+            factor = 0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * len(self.levels) & (1 << 64) - 1
+            slot = self._slot(grams, factor, bits)
+            alone = np.bincount(slot, minlength=1 << bits)[slot] == 1
+            keys, found = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+            keys[slot[alone]], found[slot[alone]] = grams[alone], values[alone]
+            self.levels.append((factor, bits, keys, found))
+            grams, values = grams[~alone], values[~alone]
+
+    @staticmethod
+    def _slot(grams: np.ndarray, factor: int, bits: int) -> np.ndarray:
+        return ((grams.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        """Values of ``grams``, each of which the table must have."""
+        out, left = np.empty(len(grams)), None
+        for factor, bits, keys, values in self.levels:
+            wanted = grams if left is None else grams[left]
+            slot = self._slot(wanted, factor, bits)
+            if left is None:
+                out = values[slot]
+                left = np.flatnonzero(keys[slot] != wanted)
+            else:
+                out[left] = values[slot]
+                left = left[keys[slot] != wanted]
+            if not len(left):
+                return out
+        raise KeyError("gram without a code length")
 
 
 def _tally(texts: Sequence[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for found, _ in gram_pieces(texts, order):
+    for found, *_ in gram_pieces(texts, order, COUNTED):
         values, n = np.unique(found, return_counts=True)
         grams.append(values)
         counts.append(n)
@@ -155,9 +191,7 @@ def _score_shard(unknown: float, order: int):
         is_word = entries["word"].is_valid().to_numpy()
         values = entries["value"].to_numpy()
         words = dict(zip(entries["word"].drop_null().to_pylist(), values[is_word].tolist()))
-        grams, lengths = entries["gram"].drop_null().to_numpy(), values[~is_word]
-        in_order = np.argsort(grams)
-        grams, lengths = grams[in_order], lengths[in_order]
+        length = GramTable(entries["gram"].drop_null().to_numpy(), values[~is_word])
         texts = docs["text"].to_pylist()
         base, tokens, known = [], [], []
         for text in texts:
@@ -167,8 +201,8 @@ def _score_shard(unknown: float, order: int):
             tokens.append(len(found))
             known.append(len(found) - found.count(unknown))
         score = np.zeros(len(texts))
-        for piece, row in gram_pieces(texts, order):
-            score += np.bincount(row, weights=lengths[np.searchsorted(grams, piece)], minlength=len(texts))
+        for piece, starts, row in gram_pieces(texts, order):
+            np.add.at(score, row, np.add.reduceat(length(piece), starts))
         return pa.table({"id": docs["id"], "held_out": pa.array(~docs["train"].to_numpy()), "n_tokens": pa.array(tokens, pa.int64()),
                          "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score)})
     return run
