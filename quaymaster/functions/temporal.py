@@ -2,7 +2,10 @@
 
 Every accepted shape is rewritten to ISO order and cast by Spark, so no
 formatter (and no exception per non-matching row) is involved. Slash dates are
-month first, dash dates are day first, offset-free times are UTC.
+month first, dash dates are day first, offset-free times are UTC. Month names may
+come before or after the day, with a day name and a GMT or UTC zone as in mail
+headers; times may be of twelve hours; years of two digits are 1950 to 2049; a year
+with a month alone is its first day.
 """
 
 from __future__ import annotations
@@ -17,11 +20,36 @@ _ISO = r"^\d{4}-\d{1,2}-\d{1,2}" + _TIME + r"\z"
 _YEAR_SLASH = r"^(\d{4})/(\d{1,2})/(\d{1,2})(" + _TIME + r")\z"
 _SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})(" + _TIME + r")\z"
 _DASH = r"^(\d{1,2})-(\d{1,2})-(\d{4})(" + _TIME + r")\z"
+# --- fixed values: English month and day names ---
+_MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+_DAYS = "mon|tue|wed|thu|fri|sat|sun"
+_DAY_NAME = rf"(?:(?:{_DAYS})[a-z]*\.?,?\s+)?"
+_NAMED_TIME = r"((?:,?[T ]\s*\d{1,2}:\d{1,2}.*)?)"
+_DAY_MONTH = rf"(?i)^{_DAY_NAME}(\d{{1,2}})(?:st|nd|rd|th)?[ -]+({_MONTHS})[a-z]*\.?,?[ -]+(\d{{4}}){_NAMED_TIME}\z"
+_MONTH_DAY = rf"(?i)^{_DAY_NAME}({_MONTHS})[a-z]*\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_NAMED_TIME}\z"
+_CLOCK = r"([T ]\s*)%s(:\d{1,2}(?::\d{1,2})?)\s?%s\.?m\.?\z"
+_SHORT_YEAR = r"^(\d{1,2})/(\d{1,2})/(%s\d)(" + _TIME + r")\z"
+
+
+def _worded(t: Column) -> Column:
+    """ISO order of dates with names and of times with am or pm: a chain, however long, has the input once."""
+    steps = [(_DAY_MONTH, "$3-$2-$1$4"), (_MONTH_DAY, "$3-$1-$2$4")]
+    steps += [(rf"(?i)^(\d{{4}}-){name}-", f"$1{i:02d}-") for i, name in enumerate(_MONTHS.split("|"), 1)]
+    steps += [(r"(?i)\s*(?:GMT|UTC)\z", "Z"), (r"\s+([+-]\d{2}):?(\d{2})\z", "$1:$2"), (r"^(\d{4}-\d{1,2}-\d{1,2}),\s*", "$1 "),
+              ("(?i)" + _CLOCK % ("12", "a"), "$100$2"), ("(?i)" + _CLOCK % ("(0?[1-9]|1[01])", "a"), "$1$2$3"), ("(?i)" + _CLOCK % ("(12)", "p"), "$1$2$3")]
+    steps += [("(?i)" + _CLOCK % (f"0?{h}", "p"), f"$1{h + 12}$2") for h in range(1, 12)]
+    for pattern, to in steps:
+        t = F.regexp_replace(t, pattern, to)
+    return t
 
 
 def _iso_or_blank(c: Column) -> Column:
-    # A chain, so that the input appears once in the expression.
-    t = F.regexp_replace(js_trim(c), _SLASH, "$3-$1-$2$4")
+    # Only texts with two letters together have words; the rest is a chain in which the input appears once.
+    t = js_trim(c)
+    t = F.when(t.rlike("[A-Za-z][A-Za-z.]"), _worded(t)).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(t, _SHORT_YEAR % "[0-4]", "20$3-$1-$2$4"), _SHORT_YEAR % "[5-9]", "19$3-$1-$2$4")
+    t = F.regexp_replace(t, r"^(\d{4}-(?:0[1-9]|1[0-2]))\z", "$1-01")
+    t = F.regexp_replace(t, _SLASH, "$3-$1-$2$4")
     t = F.regexp_replace(t, _DASH, "$3-$2-$1$4")
     t = F.regexp_replace(t, _YEAR_SLASH, "$1-$2-$3$4")
     return F.regexp_extract(t, _ISO, 0)

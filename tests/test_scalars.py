@@ -77,3 +77,18 @@ def test_anchor_refuses_final_newline(spark):
     ("jsonb", "", "json"), ("uuid", "", "uuid"), ("text", "", "string"), ("boolean", "", "boolean")])
 def test_database_type_picks_coercion(dtype, udt, expected):
     assert TargetColumn("c", dtype, udt_name=udt).coercion == expected
+
+
+def test_written_dates(spark):
+    cases = {
+        "March 7, 2024": "2024-03-07 00:00:00", "Mar 7 2024": "2024-03-07 00:00:00", "7 Mar 2024": "2024-03-07 00:00:00",
+        "7th September, 2024": "2024-09-07 00:00:00", "07-Mar-2024": "2024-03-07 00:00:00",
+        "Thu, 07 Mar 2024 10:20:30 GMT": "2024-03-07 10:20:30", "Thu, 07 Mar 2024 10:20:30 +0200": "2024-03-07 08:20:30",
+        "December 31, 2023 11:59 PM": "2023-12-31 23:59:00", "2024-03-07 12:05 am": "2024-03-07 00:05:00",
+        "3/7/2024 12:05:09 PM": "2024-03-07 12:05:09", "1/2/24": "2024-01-02 00:00:00", "1/2/51": "1951-01-02 00:00:00",
+        "2024-03": "2024-03-01 00:00:00", "February 30, 2024": None, "Smarch 7, 2024": None, "2024-03-07 13:05 pm": None, "2024-13": None,
+        "maybe": None, "march": None, "2024-03-07T10:00:00Z": "2024-03-07 10:00:00",
+    }
+    df = spark.createDataFrame(list(cases), "string").toDF("v")
+    got = {r["v"]: r["t"] for r in df.select("v", F.date_format(fn.to_timestamp(F.col("v")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()}
+    assert got == cases

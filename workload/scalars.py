@@ -88,6 +88,21 @@ def q_clean_date(spark, sf):
         F.unix_seconds(fn.to_timestamp(d)).alias("instant"), fn.iso_text(d).alias("iso_text"))
 
 
+@query("q_written_dates", """
+SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 4 THEN strftime(date_trunc('month', o_orderdate), '%Y-%m-%d')
+ ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE o_orderkey % 6 WHEN 2 THEN 10 WHEN 5 THEN 22 ELSE 0 END AS hour_of_day
+FROM orders""")
+def q_written_dates(spark, sf):
+    """C6, C7, C13d: month names, mail headers, years of two digits, a month alone, twelve hours."""
+    shapes = ["MMMM d, yyyy", "d MMM yyyy", "EEE, dd MMM yyyy 10:05:09  'GMT'", "M/d/yy", "yyyy-MM", "yyyy-MM-dd 10:05 'PM'"]
+    k, d = c("o_orderkey"), c("o_orderdate")
+    written = F.when(F.lit(False), F.lit(""))
+    for i, shape in enumerate(shapes):
+        written = written.when(k % 6 == i, F.date_format(d, shape))
+    rows = table(spark, sf, "orders").select(k.alias("k"), written.alias("v"))
+    return rows.select("k", F.date_format(fn.clean_date(c("v")), "yyyy-MM-dd").alias("day"), F.hour(fn.clean_timestamp(c("v"))).alias("hour_of_day"))
+
+
 @query("q_castable", f"""
 SELECT k, {nullish('price_txt', ('',))} OR coalesce({extract_number('price_txt')}
    = floor({extract_number('price_txt')}), false) AS int_ok,
