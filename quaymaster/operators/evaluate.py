@@ -144,11 +144,15 @@ def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: Targ
     rules, missing, groups = [], [], []
     for n, m in enumerate(candidates):
         mapped = {r.target: r.source for r in m.rules}
+        seen: set[str] = set()
         for i, r in enumerate(m.rules):
             col = target.column(r.target)
+            # Several rules of one target: what the target asks for is held against the first alone.
+            first = r.target not in seen
+            seen.add(r.target)
             rules.append((n, i, r.source, r.target, r.transformation, float(r.confidence), r.reason,
-                          bool(col and col.required), col.max_length if col else None,
-                          0 if composite else key_use.get(r.target, 0)))
+                          bool(first and col and col.required), col.max_length if col else None,
+                          key_use.get(r.target, 0) if first and not composite else 0))
         missing += [(n, i, c) for i, c in enumerate(required) if c not in mapped]
         if composite:
             groups += [(n, i, tuple(mapped[c] for c in g)) for i, g in enumerate(target.key_groups)

@@ -113,7 +113,8 @@ def stage_transforms(df: DataFrame, specs: Sequence[Transform], null_first: bool
         given = F.col(f"t{i}")
         if s.text is not None:
             work = work.withColumn("value", given)
-            value, failed = F.expr(s.text), F.lit(False)
+            value = F.expr(s.text)
+            failed = (value.isNull() & (given != "")) if s.null_fails else F.lit(False)
         else:
             value, failed = s.build(given)
         if null_first:

@@ -81,8 +81,8 @@ def _plan(rule: FixRule, target: TargetSchema, safe_mode: bool) -> tuple[str, st
     if kind == "skip":
         return "skip", None
     if kind == "alter_column":
-        text = rule.sql or (f"Schema change needs approval: {rule.diagnosis}" if safe_mode
-                            else f"Schema change requested: {rule.diagnosis}")
+        text = rule.sql or (f"approve a change of the table: {rule.diagnosis}" if safe_mode
+                            else f"change the table: {rule.diagnosis}")
         return "manual", text
     if not cols or (kind == "rename" and not rule.rename_to):
         return "fail", None
@@ -223,7 +223,7 @@ def _one_pass(work: DataFrame, names: list[str], rules: Sequence[FixRule], targe
     logged = F.col("applied") | is_skip
     complaint = F.transform(F.slice("errs", 1, 1), lambda e: F.struct(
         e["column"].alias("column"), e["code"].alias("code"),
-        F.concat(F.lit("Failed to apply suggested fix: "), e["message"]).alias("message"), e["input"].alias("input")))
+        F.concat(F.lit("the fix did not work: "), e["message"]).alias("message"), e["input"].alias("input")))
     return work.select(
         ROW_IDX, *[F.col(f"n{i}").alias(f"t{i}") for i in range(len(names))],
         F.when(F.col("applied"), F.col("checked")).when(F.col("failed"), complaint).otherwise(F.col("errs")).alias("errs"),

@@ -82,7 +82,7 @@ def verdict(score: DataFrame, issues: DataFrame, validation: DataFrame | None =
     if failures is not None:
         bad = failures.filter(F.col("rate") > K.FAILURE_RATE_LIMIT)
         parts.append(_first_texts(
-            bad, F.format_string('Column "%s": %.0f%% of rows have transform errors', F.col("column"), F.col("rate") * 100),
+            bad, F.format_string('%s: %.0f%% of its rows fail', F.col("column"), F.col("rate") * 100),
             [F.col("column")], "failure_texts"))
     if dry_run is not None:
         parts.append(dry_run.select("rows_tested", "rows_passed"))
@@ -96,7 +96,7 @@ def verdict(score: DataFrame, issues: DataFrame, validation: DataFrame | None =
     none = F.array().cast("array<string>")
     transform_ok = F.coalesce("success", F.lit(True))
     problems = F.flatten(F.array(
-        F.when(low, F.array(F.lit("Mapping quality is very low"))).otherwise(none),
+        F.when(low, F.array(F.lit("the mapping scores too low"))).otherwise(none),
         F.coalesce("critical_texts", none),
         F.when(transform_ok, none).otherwise(F.coalesce("failure_texts", none)),
         F.when(failed_rows > 0, F.array(F.format_string(
@@ -133,7 +133,7 @@ def preflight(spark: SparkSession, mapping: Mapping, target: TargetSchema,
         if r.confidence >= K.CONFIDENT:
             rows.append(("success", r.source, r.target, r.reason))
         elif r.confidence >= K.UNSURE:
-            rows.append(("warning", r.source, r.target, f"Confidence: {r.confidence:.2f} - {r.reason}"))
+            rows.append(("warning", r.source, r.target, f"{r.reason} ({r.confidence:.2f} sure)"))
     used = {r.source for r in mapping.rules}
     reasons = dict(mapping.dropped)
     rows += [("alert", c, None, reasons.get(c, "not mapped")) for c in source_columns if c not in used]

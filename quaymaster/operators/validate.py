@@ -25,10 +25,10 @@ def output_errors(c: TargetColumn, value: Column, dtype: T.DataType, given: Colu
     found = []
     if c.required:
         found.append(error(value.isNull(), c.name, K.NOT_NULL,
-                           "NULL output for NOT NULL column without default", given))
+                           "no value, and the column needs one", given))
     if (kind in ("integer", "number") and not numeric) or (
             kind == "boolean" and not isinstance(dtype, T.BooleanType)):
-        found.append(error(live, c.name, K.BAD_CAST, f"Expected {kind}, got {dtype.simpleString()}", given))
+        found.append(error(live, c.name, K.BAD_CAST, f"{dtype.simpleString()} where {kind} belongs", given))
     elif kind == "integer" and strict_int and numeric:
         limit = INTEGER_LIMITS[c.integer_bits or 64]
         if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
@@ -63,7 +63,7 @@ def validated_rows(df: DataFrame, specs: Sequence[Transform], target: TargetSche
     found = []
     for i, s in enumerate(chosen):
         given, value, thrown = F.col(f"t{i}"), F.col(f"o{i}"), F.col(f"x{i}")
-        found.append(error(thrown, s.target, K.BAD_CAST, f"Transform threw: {s.label}", given))
+        found.append(error(thrown, s.target, K.BAD_CAST, f"transform {s.label} failed", given))
         column = target.column(s.target)
         if column is None:
             continue

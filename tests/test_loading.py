@@ -78,7 +78,7 @@ def test_attempts_run_out_with_the_last_state(spark):
     # The first error of the second row is its id, which no rule knows.
     assert got[1]["bucket"] == "unresolved" and got[1]["fixes"] == [] and got[1]["errors"][0]["column"] == "id"
     one = repair(bad, [FixRule("cast", K.BAD_CAST, "age")], CONTACTS, max_retries=2).filter("row_idx = 0").first()
-    assert one["bucket"] == "unresolved" and one["errors"][0]["message"].startswith("Failed to apply suggested fix")
+    assert one["bucket"] == "unresolved" and one["errors"][0]["message"].startswith("the fix did not work")
 
 
 def test_payload_names_and_manual_fixes(spark):
@@ -215,7 +215,7 @@ def test_verdicts(spark):
     v = preflight_status(r.verdict).first()
     # The watch breaks the price rule in the dry run only.
     assert (v["status"], v["preflight"], v["validation"], v["dry_run"]) == ("review", "needs_review", "ok", "failed")
-    assert v["problems"] == ["1/6 sample rows would be refused"]
+    assert v["problems"] == ["1 of 6 tested rows would be refused"]
     scored = evaluate_mapping(df, good, SHOP)
     assert verdict(scored.scores, scored.issues).first()["status"] == "safe"
     assert verdict(scored.scores, scored.issues).first()["dry_run"] == "not_run"
@@ -253,3 +253,32 @@ def test_foreign_key_gaps_with_a_hot_key(spark):
     # Rows are counted per key before they are shuffled or joined.
     plan = gaps._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftOuter") < plan.index("Aggregate")
+
+
+def test_loads_reject_rows_without_a_key(spark):
+    from quaymaster.model import Mapping, MappingRule, TargetColumn, TargetSchema, Transform
+    from quaymaster.plans.ingest import load_reviewed, run_ingestion
+    target = TargetSchema("t", (TargetColumn("id", "bigint"), TargetColumn("name", "text")), primary_key=("id",), unique=(("name",),))
+    df = spark.createDataFrame([(0, "1", "a"), (1, "", "b"), (2, "2", "c"), (3, "1", "d"), (4, "5", "c"), (5, "6", "held")],
+                               "row_idx long, i string, n string")
+    table = spark.createDataFrame([(9, "held"), (2, "old")], "id long, name string")
+    done = run_ingestion(df, Mapping((MappingRule("i", "id"), MappingRule("n", "name"))), target, table, ["id"])
+    # No key; a name met before under another id; a name the table holds under another id.
+    assert {r["row_idx"]: r["bucket"] for r in done.rows.collect()} == {
+        0: "loaded", 1: "unresolved", 2: "loaded", 3: "loaded", 4: "unresolved", 5: "unresolved"}
+    report = done.report.first()
+    assert (report["rows_upserted"], report["rows_skipped"]) == (3, 3)
+    assert {tuple(r) for r in done.merged.collect()} == {(9, "held", "keep"), (2, "c", "update"), (1, "d", "insert")}
+    assert [tuple(r) for r in done.duplicates.collect()] == [(1, 2, 0, 3)]
+    specs = [Transform.named("i", "id", "to_integer"), Transform.named("n", "name", "none")]
+    merged, outcome = load_reviewed(df, specs, target, table, ["id"], batch=2)
+    assert {r["batch"]: r["failed"] for r in outcome.collect()} == {1: True, 2: False, 3: True}
+    assert {tuple(r) for r in merged.collect()} == {(9, "held", "keep"), (2, "c", "update"), (1, "d", "insert")}
+
+
+def test_upsert_raises_on_null_keys(spark):
+    from quaymaster.operators.merge import upsert_by_key
+    target = spark.createDataFrame([(1, "a")], "id long, name string")
+    source = spark.createDataFrame([(0, None, "b")], "row_idx long, id long, name string")
+    with pytest.raises(Exception, match="no complete key"):
+        upsert_by_key(target, source, ["id"]).collect()

@@ -150,7 +150,7 @@ SELECT row_idx // 500 + 1 AS batch, count(*) AS "rows", count(b) AS bad_rows, co
  CASE WHEN count(b) > 0 THEN 0 ELSE count(*) END AS upserted,
  CASE WHEN count(b) > 0 THEN 'Batch ' || (row_idx // 500 + 1) || ': ' || arg_min(m, b) END AS message
 FROM (SELECT x.row_idx, v.row_idx AS b, CASE WHEN v.code = 'not_null' THEN
-   'NULL output for NOT NULL column without default' ELSE 'Transform threw: date' END AS m
+   'no value, and the column needs one' ELSE 'transform date failed' END AS m
  FROM ({TRANSFORMED}) x LEFT JOIN (SELECT row_idx, arg_min(code, o) AS code FROM (
    SELECT *, CASE "column" WHEN 'customer_id' THEN 0 WHEN 'price' THEN 1 ELSE 2 END AS o FROM ({VIOLATIONS}) q) w
    GROUP BY row_idx) v ON x.row_idx = v.row_idx) y GROUP BY row_idx // 500""")

@@ -107,6 +107,16 @@ def q_custom_transform(spark, sf):
     return apply_transforms(indexed_orders(spark, sf), specs).drop("errors")
 
 
+@query("q_throwing_transform", f"""
+SELECT row_idx, CASE WHEN NOT {nullish('price_txt', K.TRANSFORM_NULLS)} AND regexp_matches({t('price_txt')}, '^[0-9]+$') THEN cast({t('price_txt')} AS bigint) END AS whole,
+ CASE WHEN NOT {nullish('price_txt', K.TRANSFORM_NULLS)} AND NOT regexp_matches({t('price_txt')}, '^[0-9]+$') THEN {t('price_txt')} END AS failed_input
+FROM ({TRANSFORMED}) x""")
+def q_throwing_transform(spark, sf):
+    """A cast that fails is recorded with its input and does not stop the job."""
+    rows = apply_transforms(indexed_orders(spark, sf), [Transform.sql("price_txt", "whole", "cast(value AS bigint)", null_fails=True)])
+    return rows.select("row_idx", "whole", F.get("errors", F.lit(0))["input"].alias("failed_input"))
+
+
 # Violations of the validated output: NULL into required columns, thrown dates.
 VIOLATIONS = f"""
 SELECT row_idx, 'customer_id' AS "column", 'not_null' AS code, coalesce(cust_txt, '') AS "input"
