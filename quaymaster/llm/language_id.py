@@ -20,6 +20,7 @@ from quaymaster.llm.common import struct
 NGRAMS = (1, 2, 3)
 BINS = 1 << 15
 BLOCK_CHARS = 1 << 20
+MOST_LANGUAGES = 1_000  # a matrix of at most 131 MB is broadcast
 SAMPLE_ROWS = 20_000  # training rows a language, about; the bound of the fitted sample
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
@@ -99,12 +100,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
         ngrams: tuple[int, ...] = NGRAMS, alpha: float = 0.1) -> LanguageModel:
     """Fit on rows with a text and a language; about ``sample_rows`` rows a language, chosen by the text's hash.
 
-    Languages are values of ``lang_col`` with at least one row; priors come from all rows.
+    Languages are values of ``lang_col`` with at least one row, of which there may be 1,000; priors come from all rows.
     Without such rows the model has no language and every prediction is undetermined.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; the log-probability matrix is broadcast for at most {MOST_LANGUAGES}")
     if not languages:
         return LanguageModel((), np.zeros(0), np.zeros((bins, 0)), ngrams)
     keep = F.lit(False)
