@@ -209,14 +209,17 @@ def _shard_spans(key, rows):
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "id", "begin", "end"])
 
 
-def repeated_places(texts: DataFrame) -> DataFrame:
-    """(key, id, begin, end): stretches of ``texts`` (key, id, text; one row a text) whose windows also start elsewhere.
+def repeated_places(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, id, begin, end): stretches of ``texts`` (key, id, text) whose windows also start elsewhere.
 
-    Stretches of one text may overlap; together they cover exactly the repeated bytes.
+    Of equal texts only the row in ``firsts`` (key, id) counts; the others are left out after their
+    contexts are made, so that no text is shuffled for it. Stretches of one text may overlap;
+    together they cover exactly the repeated bytes.
     """
     found, source = [], texts
     for level, gram in enumerate(GRAMS):
-        contexts = written(source.mapInArrow(_context_rows(gram, level > 0), struct(CONTEXTS)), f"repeat-contexts-{gram}")
+        contexts = source.mapInArrow(_context_rows(gram, level > 0), struct(CONTEXTS))
+        contexts = written(contexts if level else contexts.join(firsts, ["key", "id"], "left_semi"), f"repeat-contexts-{gram}")
         place = contexts.select("anchor", "context", "key", "id", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + WINDOW - 1).alias("end"))
         if gram == WINDOW:  # equal anchors are equal windows
             again = contexts.groupBy("anchor").agg(F.sum("windows").alias("n")).filter("n > 1").select("anchor")
@@ -251,28 +254,35 @@ def repeated_places(texts: DataFrame) -> DataFrame:
     return spans
 
 
-def _cut(batches):
+def _without(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, runs removed) of ``raw`` without its spans, which may overlap."""
+    kept, upto, runs, gone = [], 0, 0, 0
+    for s in sorted(spans, key=lambda s: (s["begin"], s["end"])):
+        if s["begin"] > upto or not runs:
+            kept.append(raw[upto:s["begin"]])
+            runs += 1
+            gone += s["end"] - s["begin"]
+            upto = s["end"]
+        elif s["end"] > upto:
+            gone += s["end"] - upto
+            upto = s["end"]
+    return b"".join([*kept, raw[upto:]]), gone, runs
+
+
+def _measure(batches):
+    for part in blocks(batches, "text", BLOCK_BYTES):
+        found = [_without(t.encode("utf-8", "surrogatepass"), s) for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
+        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()),
+                                          pa.array([hashlib.sha256(f[0]).hexdigest() for f in found], pa.string())], names=["key", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _shorten(batches):
+    """Characters of which a cut left only some bytes are dropped."""
     for part in blocks(batches, "text", BLOCK_BYTES):
-        removed, runs, shas, left = [], [], [], []
-        for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-            raw, kept, upto, count, gone = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
-            for s in sorted(spans, key=lambda s: (s["begin"], s["end"])):
-                if s["begin"] > upto or not count:
-                    kept.append(raw[upto:s["begin"]])
-                    count += 1
-                    gone += s["end"] - s["begin"]
-                    upto = s["end"]
-                elif s["end"] > upto:
-                    gone += s["end"] - upto
-                    upto = s["end"]
-            kept.append(raw[upto:])
-            rest = b"".join(kept)
-            removed.append(gone)
-            runs.append(count)
-            shas.append(hashlib.sha256(rest).hexdigest())
-            left.append(rest)
-        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas), pa.array(left, pa.binary())],
-                                         names=["key", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+        left = []
+        for text, gone, spans in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), part.column("spans").to_pylist()):
+            left.append("" if gone else _without(text.encode("utf-8", "surrogatepass"), spans)[0].decode("utf-8", "ignore") if spans and text else text)
+        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(left, pa.string())], names=["row", "text"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -280,19 +290,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
 
 
-def cut_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Per different text (key): (key, copies, n_bytes) and, where single texts lose bytes, (key, n_removed, n_spans, kept_sha256, kept_bytes)."""
-    rows = _keyed(docs, id_col, text_col)
-    classes = written(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.max(F.octet_length("text")).cast("long").alias("n_bytes")), "repeat-texts")
+def plan_cuts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (key, id, text): (key, copies, id, n_bytes) per different text; (key, id, spans) where texts without copies lose bytes."""
+    size = F.octet_length("text").cast("long")
+    classes = written(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.max(size).alias("n_bytes")), "repeat-texts")
     # One row of every text; the copies of a text are repeats by themselves.
-    firsts = classes.filter(F.col("n_bytes") >= WINDOW).select("key", "id")
-    texts = written(rows.join(firsts, ["key", "id"]).dropDuplicates(["key"]), "repeat-firsts")
-    single = classes.filter((F.col("copies") == 1) & (F.col("n_bytes") >= WINDOW)).select("key", "id")
-    spans = (repeated_places(texts).join(single, ["key", "id"], "left_semi")
+    long = classes.filter(F.col("n_bytes") >= WINDOW)
+    spans = (repeated_places(rows.filter(size >= WINDOW), long.select("key", "id"))
+             .join(long.filter("copies = 1").select("key", "id"), ["key", "id"], "left_semi")
              .groupBy("key", "id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
-    cut = texts.join(spans, ["key", "id"]).mapInArrow(
-        _cut, struct("key binary, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"))
-    return classes, cut
+    return classes, spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,8 +309,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts under 400 bytes lose nothing. Repeated rows and equal texts are repeats of one
     another. An empty table gives an empty result. Only the two named columns are read.
     """
-    classes, cut = cut_texts(docs, id_col, text_col)
-    judged = classes.select("key", "copies", "n_bytes").join(cut.drop("kept_bytes"), "key", "left")
+    texts = _keyed(docs, id_col, text_col)
+    classes, spans = plan_cuts(texts)
+    cut = texts.join(spans, ["key", "id"]).mapInArrow(_measure, struct("key binary, n_removed long, n_spans long, kept_sha256 string"))
+    judged = classes.select("key", "copies", "n_bytes").join(cut, "key", "left")
     rows = docs.select(F.col(id_col), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("whole"))
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
     return rows.join(judged, "key").select(
@@ -317,16 +326,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A character of which a byte was removed goes whole. A null text stays null; texts that lose everything become empty.
     """
-    classes, cut = cut_texts(docs, id_col, text_col)
-    # Bytes that a cut left without the rest of their character are dropped.
-    tidy = cut.select("key", "kept_bytes").mapInArrow(_decoded, struct("key binary, kept_text string"))
-    judged = classes.select("key", ((F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)).alias("gone")).join(tidy, "key", "left").filter("gone or kept_text is not null")
-    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key")).join(judged, "key", "left")
-    text = F.when(F.col("gone"), F.lit("")).otherwise(F.coalesce(F.col("kept_text"), F.col("row").getField(text_col)))
-    return rows.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
-
-
-def _decoded(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept_bytes").to_pylist()])],
-                                         names=["key", "kept_text"])
+    classes, spans = plan_cuts(_keyed(docs, id_col, text_col))
+    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
+    plan = classes.select("key", gone.alias("gone")).join(spans.drop("id"), "key", "left").filter("gone or spans is not null")
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
+    joined = rows.join(plan, "key", "left").select("row", F.col("row").getField(text_col).alias("text"), F.coalesce("gone", F.lit(False)).alias("gone"), "spans")
+    shorter = joined.mapInArrow(_shorten, joined.select("row", "text").schema)
+    return shorter.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
