@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quaymaster.llm.common import struct
+from quaymaster.llm.common import blocks, struct
 
 NGRAMS = (1, 2, 3)
 BINS = 1 << 15
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS, BLOCK_BYTES = 1 << 19, 2 << 20  # code points hashed and bytes of text taken at a time
 MOST_LANGUAGES = 1_000  # a matrix of at most 131 MB is broadcast
 SAMPLE_ROWS = 20_000  # training rows a language, about; the bound of the fitted sample
 UNDETERMINED = "und"
@@ -85,7 +85,7 @@ def _count(languages: list[str], bins: int, ngrams: tuple[int, ...]):
         index = {x: i for i, x in enumerate(languages)}
         totals = np.zeros((len(languages), bins), np.int64)
         overlap = max(ngrams) - 1
-        for batch in batches:
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             lang = np.array([index[x] for x in batch.column("lang").to_pylist()])
             for codes, starts, rows in segments(batch.column("text").to_pylist(), overlap):
                 for n in ngrams:
@@ -140,7 +140,7 @@ def scores(model: LanguageModel, texts: list[str | None]) -> np.ndarray:
 def _score(shared, keep: list[str]):
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             lettered = np.array(batch.column("lettered").to_pylist(), bool)
             pred, conf = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             rows = np.flatnonzero(lettered)
