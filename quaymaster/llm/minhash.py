@@ -80,15 +80,17 @@ def sketch_texts(texts: list[str | None], bands: int = BANDS, rows: int = ROWS)
     return ([len(next(lengths)) if k else 0 for k in keys], keys, [next(signatures) if k else None for k in keys])
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    more = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    carried = ["id", "row"] if row_col else ["id"]
 
     def run(batches):
         for part in blocks(batches, "text", BLOCK_BYTES):
             n, keys, signatures = sketch_texts(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
-                                             names=["id", "n_shingles", "words_key", "signature"])
-    return rows.mapInArrow(run, struct(f"id long, {SKETCH}"))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
+                                             names=[*carried, "n_shingles", "words_key", "signature"])
+    return rows.mapInArrow(run, struct(", ".join(f"{c} long" for c in carried) + f", {SKETCH}"))
 
 
 def least_matches(similarity: float, miss: float, count: int, batch: int = BATCH) -> dict[int, int]:
@@ -208,15 +210,16 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*values)).alias("bucket"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): groups linked by a Jaccard similarity of ``percent`` or more on word shingles.
 
     A text without words or null has n_shingles 0 and is a component of its own. Rows with
     the same id count as one document, linked when one of their texts is. A row with a null
     id is linked with nothing: its component is null and it is not kept. Repeated rows stay
-    repeated. An empty table gives an empty result. Only the two named columns are read.
+    repeated. An empty table gives an empty result. Only the named columns are read. With
+    ``row_col``, a number of each row, that number and the key of its words (null without words) follow.
     """
-    sketches = written(sketch(docs, id_col, text_col), "sketches")
+    sketches = written(sketch(docs, id_col, text_col, row_col), "sketches")
     nodes = written(sketches.filter(F.col("id").isNotNull() & F.col("words_key").isNotNull())
                     .groupBy("words_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
     buckets = _buckets(nodes)
@@ -233,7 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     more = _confirmed(_across(left, left_texts, percent), nodes, left_texts, percent)
     groups = components(links.union(more))
     labels = nodes.join(groups, "node", "left").select("words_key", F.coalesce("component", "node").alias("component"))
-    same_id = sketches.select("id", "n_shingles", "words_key").join(labels, "words_key", "left")
+    same_id = sketches.drop("signature").join(labels, "words_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return same_id.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-                          F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+                          F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+                          *([F.col("row").alias(row_col), "words_key"] if row_col else []))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from quaymaster.llm import byte_bpe, mixing, permutation_index, url_reputation
+from quaymaster.llm import byte_bpe, mixing, permutation_index, suffix_repeats, url_reputation
+from quaymaster.llm.common import written
 from tests.llm.conftest import ordered
 from tests.llm.test_duplicates import cut, near_groups
 
@@ -164,3 +165,20 @@ def test_pipeline(spark, docs, rows, tmp_path):
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_keeps_one_of_repeated_rows_and_rows_without_id(spark, docs):
+    """Near-dedup and repeat removal chained: whole-text copies that near-dedup cannot group keep one text."""
+    text = {c: " ".join(f"{c}{i}word" for i in range(120)) for c in "abcdef"}
+    rows = ([(1, text["a"])] * 5 + [(None, text["b"])] * 4 + [(None, text["c"]), (7, text["c"]), (9, text["c"])]
+            + [(None, text["d"]), (None, text["d"].upper().replace(" ", "\n"))] + [(4, text["e"]), (4, text["f"])] + [(None, None), (None, None), (5, " ")])
+    assert all(len(t) > suffix_repeats.WINDOW for t in text.values())
+    chained = spark.createDataFrame([(i, t, None, None, len(t or ""), *[None] * 6) for i, t in rows], docs.schema).repartition(4)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        chained = written(stage(spark, chained, ""), name)
+    assert chained.columns == docs.columns
+    got = chained.select("doc_id", "text").collect()
+    letter = lambda t: (t or " ")[0].lower()
+    assert sorted(((r["doc_id"], letter(r["text"])) for r in got), key=repr) == sorted(
+        [(1, "a"), (None, "b"), (7, "c"), (None, "d"), (4, "e"), (4, "f"), (None, " "), (None, " "), (5, " ")], key=repr)
+    assert {" ".join(r["text"].lower().split()) for r in got if letter(r["text"]) != " "} == set(text.values())
