@@ -210,11 +210,22 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*values)).alias("bucket"))
 
 
+def _within_ids(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, a, b): the smallest and each node of the classes of an id whose rows differ in their words."""
+    key = F.col("words_key")
+    differing = (sketches.filter("id is not null").groupBy("id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.when(key.isNull(), 1)).alias("bare"))
+                 .filter("low < high or low is not null and bare > 0").select("id"))
+    found = sketches.select("id", "words_key").join(differing, "id").join(nodes.select("words_key", "node"), "words_key").select("id", "node").distinct()
+    least = found.groupBy("id").agg(F.min("node").alias("a"))
+    return found.join(least, "id").select("id", "a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): groups linked by a Jaccard similarity of ``percent`` or more on word shingles.
 
     A text without words or null has n_shingles 0 and is a component of its own. Rows with
-    the same id count as one document, linked when one of their texts is. A row with a null
+    the same id count as one document, linked when one of their texts is, so all its rows are
+    in one component. A row with a null
     id is linked with nothing: its component is null and it is not kept. Repeated rows stay
     repeated. An empty table gives an empty result. Only the named columns are read. With
     ``row_col``, a number of each row, that number and the key of its words (null without words) follow.
@@ -222,12 +233,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     sketches = written(sketch(docs, id_col, text_col, row_col), "sketches")
     nodes = written(sketches.filter(F.col("id").isNotNull() & F.col("words_key").isNotNull())
                     .groupBy("words_key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
+    within = written(_within_ids(sketches, nodes), "near-ids")
     buckets = _buckets(nodes)
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = written(buckets.join(hubs.select("bucket", "hub"), "bucket"), "near-buckets")
     stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    links = _confirmed(stars, nodes, texts, percent)
+    links = _confirmed(stars, nodes, texts, percent).union(within.select("a", "b"))
     groups = components(links)
     labelled = shared.join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     apart = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("apart")).filter("apart").select("bucket")
@@ -236,8 +248,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     more = _confirmed(_across(left, left_texts, percent), nodes, left_texts, percent)
     groups = components(links.union(more))
     labels = nodes.join(groups, "node", "left").select("words_key", F.coalesce("component", "node").alias("component"))
-    same_id = sketches.drop("signature").join(labels, "words_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    # A row without words goes where the other rows of its id are.
+    by_id = within.select("id", F.col("a").alias("node")).distinct().join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("of_id"))
+    same_id = sketches.drop("signature").join(labels, "words_key", "left").join(by_id, "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "of_id", "id"))
     return same_id.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                           F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
                           *([F.col("row").alias(row_col), "words_key"] if row_col else []))

@@ -46,6 +46,17 @@ def test_links_across_components_are_found(spark):
     assert ordered(found) == sorted(near_groups(rows, 85), key=repr)
 
 
+def test_rows_of_one_id_are_in_one_component(spark):
+    """Rows of an id with different texts, equal to texts of smaller ids or to none, and without words."""
+    text = {c: " ".join(f"{c}{i}" for i in range(20)) for c in "abcdefg"}
+    rows = [(3, text["a"]), (8, text["a"]), (8, text["b"]), (5, text["c"]), (9, text["c"]), (9, text["d"]), (4, text["d"]), (9, None),
+            (12, text["e"]), (12, text["f"]), (13, text["f"]), (None, text["b"]), (2, None), (2, text["g"]), (20, text["g"]), (21, " "), (21, None)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 85)
+    want = near_groups(rows, 85)
+    assert {(i, c) for i, _, c, _ in want if i in (8, 9, 20)} == {(8, 3), (9, 4), (20, 2)}
+    assert ordered(found) == sorted(want, key=repr)
+
+
 def test_bayesian_bounds():
     least = minhash.least_matches(0.85, 1e-6, 144)
     assert least[16] < least[144] < 0.85 * 144 and least[144] > 0.6 * 144
