@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b: long); the component is its smallest node.
 
     Repeated links, links both ways and links to oneself are allowed. Rounds are written
-    tables; what reaches the driver is one fingerprint of all links a round.
+    tables; what reaches the driver is one fingerprint of all links a round. Raises if the
+    links still change in the last of ``MOST_ROUNDS`` rounds.
     """
     links = links.select("a", "b").filter("a <> b").distinct()
     before = None
@@ -42,4 +43,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())

@@ -74,6 +74,12 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 103: 100, 200: 60, 60: 60}
 
 
+def test_components_that_still_change_are_refused(spark, monkeypatch):
+    monkeypatch.setattr("quaymaster.llm.components.MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"))
+
+
 def passages(rows):
     out = []
     first = {}
