@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quaymaster.llm import byte_bpe, language_id, minhash, mixing, permutation_index, phrase_automata, ppm, quality_rules, suffix_repeats, url_reputation
-from quaymaster.llm.common import crc_remainder, written
+from quaymaster.llm import byte_bpe, language_id, minhash, mixing, periodic_runs, permutation_index, phrase_automata, pii, ppm, quality_rules
+from quaymaster.llm import suffix_repeats, url_reputation, whitening
+from quaymaster.llm.common import crc_remainder, whole, written
 from quaymaster.llm.oracle import MIXING, URL_REPUTATION
 from quaymaster.llm.registry import query, table
 
@@ -76,3 +77,31 @@ def repeated_passages(spark, sf_dir):
 @query("op4_suffix_repeats")
 def repeated_bytes(spark, sf_dir):
     return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def whitened_embeddings(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), shift=1_000_000)
+    each = F.posexplode(F.arrays_zip("whitened", "explained"))
+    return white.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", each).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "col.whitened", "col.explained", "identity_error")
+
+
+@query("op12_personal_data")
+def personal_data(spark, sf_dir):
+    spans = F.col("spans")
+    counts = [F.size(pii.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(pii.listed(pii.of_kind(spans, *pii.BASE)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+@query("op13_periodic_runs")
+def periodic(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.looped(whole(), F.col("doc_id")).alias("text")))
+    best = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].cast("long").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"].cast("long") / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
