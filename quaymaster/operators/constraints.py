@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quaymaster import constants as K
 from quaymaster.functions.text import js_trim
 from quaymaster.model import TargetSchema
-from quaymaster.operators.errors import ERROR_TYPE, Violation, collect_errors, error, has_errors
+from quaymaster.operators.errors import Violation, collect_errors, error, has_errors, merge_errors
 from quaymaster.operators.mapping import ROW_IDX, quoted
 from quaymaster.operators.sampling import stratified_sample
 from quaymaster.operators.validate import check_errors, output_errors
@@ -72,12 +72,6 @@ class ForeignKey:
     parent: DataFrame
 
 
-def merge_errors(first: Column, second: Column) -> Column:
-    empty = F.array().cast(ERROR_TYPE)
-    return F.when(first.isNotNull() | second.isNotNull(),
-                  F.concat(F.coalesce(first, empty), F.coalesce(second, empty)))
-
-
 def row_errors(df: DataFrame, target: TargetSchema) -> list[Violation]:
     """Everything the target refuses in a single row, unmapped required columns included."""
     found: list[Violation] = []

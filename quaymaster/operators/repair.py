@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from quaymaster import constants as K, functions as fn
+from quaymaster import constants as K
 from quaymaster.model import FixRule, TargetColumn, TargetSchema, coerce_text
 from quaymaster.operators.errors import ERROR_TYPE, collect_errors, error
 from quaymaster.operators.mapping import ROW_IDX, quoted
+from quaymaster.operators.typed import checking_type, is_exact, stored, typed_value
 from quaymaster.operators.validate import check_errors, output_errors
 
 # Found by joins over many rows, so a single row cannot be shown to be cured of them
@@ -26,19 +27,7 @@ _FIX_TYPE = "struct<attempt:int,fix_type:string,diagnosis:string,columns:array<s
 
 def strict_value(text: Column, column: TargetColumn) -> Column:
     """The typed value a database would store for this text, NULL when it refuses it."""
-    if column.is_array:
-        return fn.clean_array(text)
-    kind = column.coercion
-    trimmed = fn.js_trim(text)
-    if kind == "integer":
-        return fn.matching(trimmed, K.INTEGER_WHOLE, "bigint")
-    if kind == "number":
-        return fn.matching(trimmed, K.NUMBER_WHOLE, "double")
-    if kind == "uuid":
-        return fn.to_uuid(text, strict=False)
-    if kind == "string":
-        return text
-    return coerce_text(text, kind)
+    return typed_value(text, column, whole=True)
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
@@ -54,11 +43,9 @@ def _check_texts(texts: dict[str, Column], values: dict[str, Column], target: Ta
         column, value = target.column(name), values[name]
         refused = text.isNotNull() & value.isNull()
         found.append(error(refused, name, K.BAD_CAST,
-                           F.concat(F.lit("Cannot cast "), text, F.lit(f" to {column.coercion}")), text))
-        dtype = {"integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}.get(
-            column.coercion, T.StringType())
+                           F.concat(F.lit("Cannot cast "), text, F.lit(f" to {column.type_name}")), text))
         # A missing value is NOT NULL trouble only when nothing failed to cast.
-        rules = output_errors(column, value, dtype, text, strict_int=True)
+        rules = output_errors(column, value, checking_type(column), text, strict_int=True)
         found += [v.unless(refused) for v in rules] + check_errors(target, name, value, text)
     return collect_errors(found)
 
@@ -111,7 +98,10 @@ def _new_texts(rule: FixRule, texts: dict[str, Column], target: TargetSchema) ->
     elif rule.fix_type == "cast":
         c = rule.subject[0]
         if c in texts:
-            value = coerce_text(texts[c], rule.cast_to or target.column(c).coercion).cast("string")
+            column = target.column(c)
+            asked = rule.cast_to or column.coercion
+            exact = asked == column.coercion and is_exact(column)
+            value = as_text(*((typed_value(texts[c], column), checking_type(column)) if exact else (coerce_text(texts[c], asked), T.StringType())))
             failed = (texts[c] != "") & value.isNull()
             out[c] = value
     elif rule.fix_type == "rename":
@@ -146,7 +136,7 @@ def repair(rejects: DataFrame, rules: Sequence[FixRule], target: TargetSchema,
         work = _one_pass(work, names, rules, target, attempt, safe_mode)
     texts = {n: F.col(f"t{i}") for i, n in enumerate(names)}
     bucket = F.when(F.col("state") == "open", "unresolved").otherwise(F.col("state"))
-    final = [strict_value(texts[n], target.column(n)).try_cast(target.column(n).spark_type).alias(n) for n in names]
+    final = [stored(strict_value(texts[n], target.column(n)), target.column(n)).alias(n) for n in names]
     out = work.select(ROW_IDX, *final, bucket.alias("bucket"), F.col("errs").alias("errors"), "fixes",
                       F.col("manual").alias("manual_action"))
     return out.persist(StorageLevel.MEMORY_AND_DISK) if hold else out

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quaymaster import constants as K
 from quaymaster.model import TargetColumn, TargetSchema, Transform
 from quaymaster.operators.errors import Violation, collect_errors, error, has_errors
-from quaymaster.operators.mapping import ROW_IDX, last_spec_wins, stage_transforms
+from quaymaster.operators.mapping import ROW_IDX, stage_transforms
 from quaymaster.operators.topk import first_k_per_group
 
 INTEGER_LIMITS = {16: 2**15, 32: 2**31, 64: 2**63}
@@ -26,7 +27,13 @@ def output_errors(c: TargetColumn, value: Column, dtype: T.DataType, given: Colu
     if c.required:
         found.append(error(value.isNull(), c.name, K.NOT_NULL,
                            "no value, and the column needs one", given))
-    if (kind in ("integer", "number") and not numeric) or (
+    if c.is_array or c.is_vector:
+        if not isinstance(dtype, T.ArrayType):
+            found.append(error(live, c.name, K.BAD_CAST, f"{dtype.simpleString()} where {c.type_name} belongs", given))
+        elif c.dimensions:
+            found.append(error(F.size(value) != c.dimensions, c.name, K.OUT_OF_RANGE,
+                               F.concat(F.size(value).cast("string"), F.lit(f" of {c.dimensions} dimensions")), given))
+    elif (kind in ("integer", "number") and not numeric) or (
             kind == "boolean" and not isinstance(dtype, T.BooleanType)):
         found.append(error(live, c.name, K.BAD_CAST, f"{dtype.simpleString()} where {kind} belongs", given))
     elif kind == "integer" and strict_int and numeric:
@@ -39,8 +46,9 @@ def output_errors(c: TargetColumn, value: Column, dtype: T.DataType, given: Colu
     elif kind == "number" and strict_int and c.precision is not None:
         top = 10.0 ** (c.precision - (c.scale or 0))
         rounded = F.round(F.abs(value.cast("double")), c.scale or 0)
-        found.append(error(rounded >= top, c.name, K.OUT_OF_RANGE,
-                           f"exceeds numeric({c.precision},{c.scale or 0})", given))
+        if isinstance(dtype, T.DecimalType):  # exact: a double could round the largest value up to the bound
+            top, rounded = Decimal(10) ** (c.precision - (c.scale or 0)), F.round(F.abs(value), c.scale or 0)
+        found.append(error(rounded >= top, c.name, K.OUT_OF_RANGE, f"exceeds {c.type_name}", given))
     if c.max_length and isinstance(dtype, T.StringType):
         found.append(error(F.length(value) > c.max_length, c.name, K.TOO_LONG,
                            f"String length exceeds max {c.max_length}", given))
@@ -54,14 +62,15 @@ def check_errors(target: TargetSchema, column: str, value: Column, given: Column
 
 def validated_rows(df: DataFrame, specs: Sequence[Transform], target: TargetSchema,
                    strict_int: bool = False, with_checks: bool = False) -> DataFrame:
-    """The row part of V8: outputs of every spec and the ``errors`` they cause.
+    """The row part of V8: the outputs and the ``errors`` that every spec causes.
 
-    The transform sees the trimmed text itself, null words included.
+    The transform sees the trimmed text itself, null words included. Of specs on one target
+    each is validated; the output is that of the last, which is the one that would be loaded.
     """
-    chosen = last_spec_wins(specs)
-    work = stage_transforms(df, chosen, null_first=False)
+    last = {s.target: i for i, s in enumerate(specs)}
+    work = stage_transforms(df, specs, null_first=False)
     found = []
-    for i, s in enumerate(chosen):
+    for i, s in enumerate(specs):
         given, value, thrown = F.col(f"t{i}"), F.col(f"o{i}"), F.col(f"x{i}")
         found.append(error(thrown, s.target, K.BAD_CAST, f"transform {s.label} failed", given))
         column = target.column(s.target)
@@ -71,7 +80,7 @@ def validated_rows(df: DataFrame, specs: Sequence[Transform], target: TargetSche
         if with_checks:
             rules += check_errors(target, s.target, value, given)
         found += [v.unless(thrown) for v in rules]
-    return work.select(ROW_IDX, *[F.col(f"o{i}").alias(s.target) for i, s in enumerate(chosen)],
+    return work.select(ROW_IDX, *[F.col(f"o{i}").alias(target_name) for target_name, i in last.items()],
                        collect_errors(found).alias("errors"))
 
 
@@ -128,7 +137,7 @@ def validate_output(df: DataFrame, specs: Sequence[Transform], target: TargetSch
                     strict_int: bool = False, with_checks: bool = False) -> Validation:
     """V8: every row through every transform, checked against the target."""
     rows = validated_rows(df, specs, target, strict_int, with_checks)
-    columns = [s.target for s in last_spec_wins(specs)]
+    columns = list({s.target: None for s in specs})
     return Validation(rows, failures_by_column(rows, columns), validation_summary(rows, columns))
 
 

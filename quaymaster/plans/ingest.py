@@ -17,12 +17,13 @@ from quaymaster.model import FixRule, Mapping, MappingHints, TargetSchema, Trans
 from quaymaster.operators.constraints import check_constraints, dry_run, duplicate_keys, unique_clashes
 from quaymaster.operators.evaluate import evaluate_mapping
 from quaymaster.operators.mapping import (
-    ROW_IDX, apply_mapping, apply_transforms, dropped_columns, retain_target, split_empty_rows,
+    ROW_IDX, apply_mapping, apply_transforms, dropped_columns, fit_target, quoted, retain_target, split_empty_rows,
 )
 from quaymaster.operators.merge import batch_outcome, upsert_by_key
 from quaymaster.operators.profile import profile_simple
 from quaymaster.operators.repair import repair
 from quaymaster.operators.report import bucket_rows, ingestion_report, verdict
+from quaymaster.operators.typed import stored
 from quaymaster.operators.validate import split_valid, validate_output
 
 
@@ -60,14 +61,14 @@ def bucketed_rows(df: DataFrame, mapping: Mapping, target: TargetSchema, rules:
     """
     full, empty = split_empty_rows(df, mapping)
     target = target.keyed_by(keys)
-    checked = check_constraints(apply_mapping(full, mapping, target), target)
+    checked = check_constraints(apply_mapping(full, mapping, target, typed=True), target)
     if keys:
         checked = unique_clashes(checked, target, keys, existing)
     checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     good, bad = split_valid(checked)
     # Good rows take the target's types, as the repaired ones do.
     typed = good.select(ROW_IDX, *[
-        F.col(c).cast(target.column(c).spark_type).alias(c) for c in good.columns if c != ROW_IDX])
+        stored(quoted(c), target.column(c)).alias(c) for c in good.columns if c != ROW_IDX])
     warnings = bad.select(F.explode("errors").alias("e")).filter(F.col("e.code") == K.BAD_CAST).select("e.*")
     return bucket_rows(typed, repair(bad, rules, target, max_retries, safe_mode), empty), warnings
 
@@ -119,7 +120,7 @@ def load_reviewed(df: DataFrame, specs: Sequence[Transform], target: TargetSchem
                   batch: int = K.BATCH_ROWS) -> tuple[DataFrame, DataFrame]:
     """(merged table, outcome per batch) with all-or-nothing batches."""
     target.check_keys(keys)
-    rows = check_constraints(apply_transforms(df, specs, enabled), target.keyed_by(keys))
+    rows = check_constraints(fit_target(apply_transforms(df, specs, enabled, target), target), target.keyed_by(keys))
     rows = unique_clashes(rows, target, keys, target_df).persist(StorageLevel.MEMORY_AND_DISK)
     outcome = batch_outcome(rows, batch)
     # Held and counted so that the planner knows how many batches failed.
