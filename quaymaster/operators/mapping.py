@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from quaymaster import constants as K
 from quaymaster.functions.numbers import strip_currency
 from quaymaster.functions.text import is_nullish, js_trim, value_kind
-from quaymaster.model import Mapping, TargetColumn, TargetSchema, Transform, coerce_text
+from quaymaster.functions.tolerant import lenient_rules, tolerant_sql
+from quaymaster.model import CALLERS, Mapping, TargetColumn, TargetSchema, Transform, coerce_text
 from quaymaster.operators.errors import collect_errors, error, merge_errors
 from quaymaster.operators.typed import is_exact, typed_value
 
@@ -127,14 +129,19 @@ def stage_transforms(df: DataFrame, specs: Sequence[Transform], null_first: bool
         given = F.col(f"t{i}")
         if s.text is not None:
             work = work.withColumn("value", given)
-            value = F.expr(s.text)
-            failed = (value.isNull() & (given != "")) if s.null_fails else F.lit(False)
+            value, failed = F.expr(tolerant_sql(df.sparkSession, s.text)), F.lit(False)
         else:
             value, failed = s.build(given)
         if null_first:
             live = ~is_nullish(given, K.TRANSFORM_NULLS)
             value, failed = F.when(live, value), live & failed
-        work = work.withColumns({f"o{i}": value, f"x{i}": F.coalesce(failed, F.lit(False))})
+        # What a caller wrote is resolved under rules that give NULL where it would fail.
+        with lenient_rules(df.sparkSession) if s.text is not None or s.label == CALLERS else nullcontext():
+            work = work.withColumn(f"o{i}", value)
+        if s.null_fails:
+            missing = F.col(f"o{i}").isNull() & (given != "")
+            failed = failed | ((live & missing) if null_first else missing)
+        work = work.withColumn(f"x{i}", F.coalesce(failed, F.lit(False)))
         if s.text is not None:
             work = work.drop("value")
     return work

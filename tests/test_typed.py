@@ -153,3 +153,51 @@ def test_every_spec_of_a_target_is_validated_and_the_last_is_loaded(spark):
     assert [(r["column"], r["failures"]) for r in checked.failures.collect()] == [("n", 1)]
     assert checked.summary.first()["passed_rows"] == 1
     assert [r["n"] for r in apply_transforms(df, specs).orderBy("row_idx").collect()] == [1, 2]
+
+
+# --- transforms that would throw -------------------------------------------------------------------
+
+@pytest.mark.parametrize("text, want", [
+    ("int(value)", [12, None, None, None]),
+    ("value::int", [12, None, None, None]),
+    ("to_date(value)", [None, dt.date(2024, 1, 5), None, None]),
+    ("to_date(value, 'yyyy-MM-dd')", [None, dt.date(2024, 1, 5), None, None]),
+    ("10 / try_cast(value AS int)", [10 / 12, None, None, None]),
+    ("10 % int(value)", [10, None, None, None]),
+    ("7 div int(value)", [0, None, None, None]),
+    ("2147483640 + int(value)", [None, None, None, None]),
+    ("value > 3", [True, None, None, False]),
+    ("-int(value)", [-12, None, None, 0]),
+    ("split(value, '-')[2]", [None, "05", None, None]),
+    ("element_at(split(value, '-'), 2)", [None, "01", None, None]),
+    ("transform(split(value, '-'), x -> int(x))[0]", [12, 2024, None, 0]),
+    ("CASE WHEN value LIKE '2024%' THEN 'y' || upper(value) WHEN value IN ('0') THEN NULL ELSE trim(BOTH '1' FROM value) END", ["2", "y2024-01-05", "x", None]),
+    ("NOT value IS NULL AND value BETWEEN '0' AND '1'", [False, False, False, True]),
+    ("make_date(2024, 13, int(value))", [None, None, None, None]),
+    ("cast(cast(value AS bigint) * 1000000000 AS int)", [None, None, None, 0]),
+])
+def test_transforms_give_null_where_they_would_throw(spark, text, want):
+    df = one_column(spark, ["12", "2024-01-05", "x", "0"])
+    if text in ("10 % int(value)", "10 / try_cast(value AS int)", "7 div int(value)"):
+        want = want[:3] + [None]
+    elif text in ("int(value)", "value::int"):
+        want = want[:3] + [0]
+    elif text == "2147483640 + int(value)":
+        want = want[:3] + [2147483640]
+    out = apply_transforms(df, [Transform.sql("v", "o", text)]).orderBy("row_idx").collect()
+    assert [r["o"] for r in out] == want and all(r["errors"] is None for r in out)
+    failing = apply_transforms(df, [Transform.sql("v", "o", text, null_fails=True)]).orderBy("row_idx").collect()
+    assert [r["errors"] is not None for r in failing] == [w is None for w in want]
+
+
+def test_column_functions_give_null_where_they_would_throw(spark):
+    df = one_column(spark, ["12", "x"])
+    out = apply_transforms(df, [Transform.of("v", "o", lambda v: F.lit(10) / v.cast("int"), null_fails=True)]).orderBy("row_idx").collect()
+    assert [(r["o"], r["errors"] is None) for r in out] == [(10 / 12, True), (None, False)]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+@pytest.mark.parametrize("text", ["raise_error(value)", "assert_true(value = 'x')", "(SELECT 1)", "sum(value) OVER ()", "other + 1", "reflect('java.lang.System', 'exit')"])
+def test_what_cannot_be_made_tolerant_is_refused_early(spark, text):
+    with pytest.raises(ValueError):
+        apply_transforms(one_column(spark, ["1"]), [Transform.sql("v", "o", text)])
