@@ -2,38 +2,69 @@
 
 from __future__ import annotations
 
+import csv
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quaymaster.operators.mapping import ROW_IDX, quoted
+from quaymaster.sources.records import BLANKS, has_quoted_breaks, json_objects, quoted_records
 from quaymaster.sources.row_index import with_row_index
 
 CORRUPT = "_corrupt"
 
 
 def read_csv(spark: SparkSession, path: str | list[str], strict: bool = True, row_index: bool = True,
-             multi_line: bool = False, sep: str = ",") -> DataFrame:
+             multi_line: bool | None = None, sep: str = ",") -> DataFrame:
     """Every field a trimmed string, '' for an empty one, header row as names.
 
     Strict: a row with too few or too many fields raises when it is read.
     Lenient: short rows are filled with '', long rows cut, both leave ``_corrupt``
-    set; a source without rows is an error. ``multi_line`` allows line breaks inside
-    quotes but makes each file one task.
+    set; a source without rows is an error. Line breaks inside quotes belong to their field. Whether there are
+    any is looked up once (``multi_line`` tells it instead): files without are parsed line by line,
+    files with them are cut into records first (:mod:`records`); both are read in splits. A quote that is never
+    closed is an error.
     """
-    options = {"header": True, "sep": sep, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
-               "multiLine": multi_line, "enforceSchema": True, "quote": '"', "escape": '"'}
+    if multi_line if multi_line is not None else has_quoted_breaks(spark, path, sep):
+        return _read_records(spark, path, strict, row_index, sep)
+    options = {"header": True, "enforceSchema": True, **_csv_options(sep)}
     _require_same_headers(spark, path)
     names = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                          + [T.StructField(CORRUPT, T.StringType())])
     # Without pruning the parser sees every field, so a ragged row is noticed whatever
     # columns a query needs. (A text line is read whole in any case.)
     raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
-                             columnPruning=False).schema(schema).csv(path)
+                             columnPruning=False).schema(_text_fields(names)).csv(path)
     if row_index:
         raw = with_row_index(raw)
+    return _checked_fields(raw, names, strict, row_index, path)
+
+
+def _csv_options(sep: str) -> dict:
+    return {"sep": sep, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "quote": '"', "escape": '"'}
+
+
+def _text_fields(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+
+
+def _read_records(spark: SparkSession, path, strict: bool, row_index: bool, sep: str) -> DataFrame:
+    """CSV whose records were cut with their line breaks; the first record of each file is its header."""
+    records = quoted_records(spark, path, sep)
+    headers = [r[0].lstrip(BLANKS) for r in records.filter("row = first").select("record").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValueError(f"different header lines: {headers[0]} and {headers[1]}")
+    if not headers:
+        raise ValueError(f"no rows in {path}")
+    names = [n.strip() for n in next(csv.reader([headers[0]], delimiter=sep, skipinitialspace=True))]
+    fields = F.from_csv("record", ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, CORRUPT]),
+                        {**_csv_options(sep), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false", "lineSep": "\u0001"})
+    raw = records.filter("row > first").select((F.col("row") - F.col("files")).alias(ROW_IDX), fields.alias("s")).select(ROW_IDX, "s.*")
+    return _checked_fields(raw, names, strict, row_index, path)
+
+
+def _checked_fields(raw: DataFrame, names: Sequence[str], strict: bool, row_index: bool, path) -> DataFrame:
     filled = [F.coalesce(quoted(n), F.lit("")).alias(n) for n in names]
     head = [ROW_IDX] if row_index else []
     if not strict:
@@ -61,21 +92,12 @@ def _require_same_headers(spark: SparkSession, path) -> None:
         raise ValueError(f"different header lines in {headers[0]['p']} and {headers[1]['p']}")
 
 
-def _require_array_files(spark: SparkSession, path) -> None:
-    lines = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0).select(
-        F.col("_metadata.file_path").alias("p"), F.monotonically_increasing_id().alias("i"),
-        F.left(F.btrim("value", F.lit(" \t\r\ufeff")), F.lit(1)).alias("v")).filter("v <> ''")
-    bad = lines.groupBy("p").agg(F.min_by("v", "i").alias("v")).filter(F.col("v") != "[").limit(1).collect()
-    if bad:
-        raise ValueError(f"expected a JSON array of objects in {bad[0]['p']}")
-
-
 def read_json(spark: SparkSession, path: str | list[str], lines: bool | None = None,
               schema: T.StructType | str | None = None, keys: bool = False, row_index: bool = True) -> DataFrame:
     """S3: objects as rows; keys missing from an object are NULL.
 
-    ``.json`` files hold one array each (one task per file); ``lines=True`` or a
-    ``.jsonl`` suffix reads one object per line and splits. Anything but objects is
+    ``.json`` files hold one array each, ``lines=True`` or a ``.jsonl`` suffix reads one object per line; both
+    are read in splits. Anything but objects is
     an error. ``keys`` adds ``_keys``, the keys each object really has.
     """
     first = path if isinstance(path, str) else path[0]
@@ -90,23 +112,26 @@ def read_json(spark: SparkSession, path: str | list[str], lines: bool | None = N
         extra = [F.json_object_keys("value").alias("_keys")] if keys else []
         return raw.select(*([ROW_IDX] if row_index else []), *extra, parsed).select(
             *([ROW_IDX] if row_index else []), *(["_keys"] if keys else []), "s.*")
-    _require_array_files(spark, path)
-    if keys:
-        whole = spark.read.options(multiLine=True, singleVariantColumn="doc").json(path).select(
-            F.col("_metadata.file_path").alias("_path"), "doc")
-        items = whole.select("_path", F.expr("doc").alias("doc")).lateralJoin(
-            spark.tvf.variant_explode(F.col("doc").outer())).select("_path", "pos", "value")
-        text = items.select("_path", "pos", F.to_json("value").alias("value"))
-        if schema is None:
-            schema = spark.read.options(multiLine=True, mode="FAILFAST").json(path).schema
-        out = text.select("_path", "pos", F.json_object_keys("value").alias("_keys"),
-                          F.from_json("value", schema).alias("s"))
-        if row_index:
-            return with_row_index(out, order_by=["_path", "pos"]).select(ROW_IDX, "_keys", "s.*")
-        return out.select("_keys", "s.*")
-    reader = spark.read.options(multiLine=True, mode="FAILFAST")
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
-    return with_row_index(df) if row_index else df
+    objects = json_objects(spark, path)
+    if schema is None:
+        schema = _object_schema(objects)
+    parsed = F.from_json("record", schema, {"mode": "FAILFAST"}).alias("s")
+    extra = [F.json_object_keys("record").alias("_keys")] if keys else []
+    return objects.select(F.col("row").alias(ROW_IDX), *extra, parsed).select(
+        *([ROW_IDX] if row_index else []), *(["_keys"] if keys else []), "s.*")
+
+
+# --- fixed values: what types of variant values are as columns ---
+_COLUMN_TYPES = (("OBJECT<", "STRUCT<"), ("VARIANT", "STRING"), ("VOID", "STRING"))
+
+
+def _object_schema(objects: DataFrame) -> str:
+    """The columns of the objects: types widened over all rows, text where they conflict; combined per task first."""
+    found = objects.agg(F.schema_of_variant_agg(F.parse_json("record"))).first()[0] or "OBJECT<>"
+    for variant, column in _COLUMN_TYPES:
+        found = re.sub(rf"(?<![`\w]){variant}", column, found)
+    found = re.sub(r"(?<![`\w])DECIMAL\(\d+,\s*\d+\)", "DOUBLE", found)
+    return found
 
 
 def read_source(spark: SparkSession, path: str, **options) -> DataFrame:

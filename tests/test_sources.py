@@ -1,9 +1,13 @@
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quaymaster.sources import readers as rd
+from quaymaster.sources.records import json_objects, quote_scanner
 from quaymaster.sources.row_index import with_row_index
 from quaymaster.sources.sinks import write_rejects, write_upsert
 
@@ -128,3 +132,101 @@ def test_changed_splits_are_an_error_not_a_wrong_index(spark, tmp_path):
             df.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+# --- records that span lines, in many splits ------------------------------------------------------
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_quoted_line_breaks_belong_to_their_field(spark, tmp_path):
+    p = write(tmp_path / "a.csv", 'id,t\n1,"x\ny"\n2,plain\n')
+    for strict in (True, False):
+        rows = rd.read_csv(spark, p, strict=strict).orderBy("row_idx").collect()
+        assert [(r["row_idx"], r["id"], r["t"]) for r in rows] == [(0, "1", "x\ny"), (1, "2", "plain")]
+
+
+def test_quoted_records_over_many_splits_and_files(spark, tmp_path, small_splits):
+    rng, folder, want = random.Random(5), tmp_path / "m.csv", []
+    folder.mkdir()
+    cells = ['"a,b"', '"x\ny"', '"say ""hi"""', '""', '"l1\n\nl3,"",z"', ' 5" pipe', "7", '"{}"'.format("long\n" * 900)]
+    for f in range(3):
+        lines = []
+        for i in range(300):
+            picked = rng.choices(cells, weights=[9, 5, 5, 5, 5, 5, 50, 1], k=2)
+            lines.append(f"{len(want)},{picked[0]},{picked[1]}\n" + rng.choice(["", "", "", "\n", "  \n"]))
+            want.append([str(len(want)), *next(csv.reader([",".join(picked)], skipinitialspace=True))] if "\n" not in picked[0] + picked[1]
+                        else [str(len(want)), *next(csv.reader(io.StringIO(",".join(picked), newline=""), skipinitialspace=True))])
+        write(folder / f"p{f}.csv", "id,a,b\n" + "".join(lines))
+    df = rd.read_csv(spark, str(folder))
+    assert df.rdd.getNumPartitions() > 6
+    got = [tuple(r) for r in df.orderBy("row_idx").collect()]
+    assert got == [(i, *r) for i, r in enumerate(want)]
+    assert rd.read_csv(spark, str(folder), row_index=False).columns == ["id", "a", "b"]
+
+
+def test_ragged_records_and_open_quotes(spark, tmp_path):
+    p = write(tmp_path / "r.csv", 'a,b\n1,"x\ny"\n2\n3,4,5\n')
+    with pytest.raises(Exception, match="wrong number of fields"):
+        rd.read_csv(spark, p).count()
+    with pytest.raises(Exception, match="wrong number of fields"):
+        rd.read_csv(spark, p).select("a").collect()
+    rows = rd.read_csv(spark, p, strict=False).orderBy("row_idx").collect()
+    assert [(r["a"], r["b"], r["_corrupt"] is not None) for r in rows] == [("1", "x\ny", False), ("2", "", True), ("3", "4", True)]
+    with pytest.raises(ValueError, match="never closed"):
+        rd.read_csv(spark, write(tmp_path / "o.csv", 'a,b\n1,"x\n2,3\n'))
+    folder = tmp_path / "h.csv"
+    folder.mkdir()
+    write(folder / "1.csv", 'a,b\n1,"x\ny"\n')
+    write(folder / "2.csv", "b,a\n3,4\n")
+    with pytest.raises(ValueError, match="different header"):
+        rd.read_csv(spark, str(folder))
+
+
+def test_quote_scanner():
+    scan = quote_scanner()
+    for text, opened in {"": False, "a,b": False, 'a,"b': True, '"a","b"': False, 'x" y': False, 'x",y': False, 'x","y': True, '"a""b"': False,
+                         ' "a': True, 'a, "b"': False, '5" pipe,"open': True, '""': False}.items():
+        assert scan(text)[0] == opened, text
+    # From within quotes: the first single quote closes the field.
+    assert [scan(t)[1] for t in ('still in', 'end"', 'end",a', 'end","next', 'end",a,"b"', 'in ""still', 'end" junk')] == [True, False, False, True, False, True, False]
+    for text in ('"' * 100_000, 'a,"' * 50_000, '"a",' * 50_000, ",".join(['"x""y"'] * 30_000)):
+        scan(text)
+
+
+@pytest.mark.parametrize("how", [{}, {"indent": 1}, {"separators": (",", ":")}])
+def test_json_arrays_over_many_splits(spark, tmp_path, small_splits, how):
+    rng = random.Random(3)
+
+    def value(n):
+        kind = rng.random()
+        if kind < 0.4 or n > 2:
+            return rng.choice(["x", "}", '{"a":1}', '\\"}', "[", "]", 'é "q"', "\\", "", 7])
+        return [value(n + 1) for _ in range(rng.randint(0, 3))] if kind < 0.7 else {rng.choice("abc"): value(n + 1) for _ in range(rng.randint(0, 3))}
+
+    objects = [{"i": i, "v": value(0)} for i in range(600)]
+    p = write(tmp_path / "a.json", json.dumps(objects, **how))
+    cut = json_objects(spark, p)
+    assert cut.rdd.getNumPartitions() > 4
+    got = sorted((r["row"], r["record"]) for r in cut.collect())
+    assert [r for r, _ in got] == list(range(600)) and [json.loads(t) for _, t in got] == objects
+    rows = rd.read_json(spark, p, schema="i long", keys=True).orderBy("row_idx").collect()
+    assert [(r["i"], r["_keys"]) for r in rows] == [(i, ["i", "v"]) for i in range(600)]
+
+
+@pytest.mark.parametrize("text", ['{"a":1}', '[1, 2]', '[{"a":1}, 2]', '[{"a":1}', '[{"a":1}] x', '[[{"a":1}]]'])
+def test_other_json_than_arrays_of_objects_is_refused(spark, tmp_path, text):
+    with pytest.raises(Exception):
+        json_objects(spark, write(tmp_path / "a.json", text)).collect()
+
+
+def test_json_types_are_widened_over_all_objects(spark, tmp_path):
+    p = write(tmp_path / "a.json", '[{"a": 1, "b": "x", "c": {"d": [1.5]}, "e": null}, {"a": 2.5, "b": 3, "f g": true}, {}]')
+    df = rd.read_json(spark, p)
+    assert dict(df.dtypes) == {"row_idx": "bigint", "a": "double", "b": "string", "c": "struct<d:array<double>>", "e": "string", "f g": "boolean"}
+    assert [(r["a"], r["b"]) for r in df.orderBy("row_idx").collect()] == [(1.0, "x"), (2.5, "3"), (None, None)]
