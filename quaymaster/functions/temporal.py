@@ -38,18 +38,18 @@ _REWRITES = {"year_slash": (_YEAR_SLASH, "$1-$2-$3$4"),
              "month_first": (rf"^(?={_MONTH})" + _ANY_ORDER, "$4-$1-$3$5"),
              "day_first": (r"^(?=\d{1,2}[/.-]" + _MONTH + ")" + _ANY_ORDER, "$4-$3-$1$5")}
 # --- fixed values: English month and day names ---
-_MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+MONTH_NAMES = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 _DAYS = "mon|tue|wed|thu|fri|sat|sun"
 _DAY_NAME = rf"(?:(?:{_DAYS})[a-z]*\.?,?\s+)?"
 _NAMED_TIME = r"((?:,?[T ]\s*\d{1,2}:\d{1,2}[^\x01]*)?)"
 # Months, centuries of the first digit of a short year, and hours of twelve-hour clocks, behind a mark that ends the text.
 _TABLE = "\x01;" + "".join(
-    [f"{name}{i:02d};" for i, name in enumerate(_MONTHS.split("|"), 1)] + [f"{d}y{20 if d < 5 else 19};" for d in range(10)]
+    [f"{name}{i:02d};" for i, name in enumerate(MONTH_NAMES.split("|"), 1)] + [f"{d}y{20 if d < 5 else 19};" for d in range(10)]
     + [f"{h}{half}{h % 12 + add:02d};" for half, add in (("a", 0), ("p", 12)) for h in range(1, 13)])
 _LOOKED_UP = (
-    (rf"(?i)^{_DAY_NAME}(\d{{1,2}})(?:st|nd|rd|th)?[ -]+({_MONTHS})[a-z]*\.?,?[ -]+(\d{{4}}){_NAMED_TIME}(?=\x01)", "$3-$2-$1$4"),
-    (rf"(?i)^{_DAY_NAME}({_MONTHS})[a-z]*\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_NAMED_TIME}(?=\x01)", "$3-$1-$2$4"),
-    (rf"(?i)^(\d{{4}}-)({_MONTHS})(?=-[^\x01]*\x01.*?;\2(\d\d);)", "$1$3"),
+    (rf"(?i)^{_DAY_NAME}(\d{{1,2}})(?:st|nd|rd|th)?[ -]+({MONTH_NAMES})[a-z]*\.?,?[ -]+(\d{{4}}){_NAMED_TIME}(?=\x01)", "$3-$2-$1$4"),
+    (rf"(?i)^{_DAY_NAME}({MONTH_NAMES})[a-z]*\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}){_NAMED_TIME}(?=\x01)", "$3-$1-$2$4"),
+    (rf"(?i)^(\d{{4}}-)({MONTH_NAMES})(?=-[^\x01]*\x01.*?;\2(\d\d);)", "$1$3"),
     (r"(?i)\s*(?:GMT|UTC)(?=\x01)", "Z"),
     (r"\s+([+-]\d{2}):?(\d{2})(?=\x01)", "$1:$2"),
     (r"^(\d{4}-\d{1,2}-\d{1,2}),\s*", "$1 "),

@@ -7,8 +7,9 @@ on one row per rule, however large the source is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -129,9 +130,13 @@ def _group_stats(df: DataFrame, groups: Sequence[tuple[str, ...]]) -> DataFrame:
 
 @dataclass
 class Evaluation:
-    """One row per candidate in ``scores``; ordered ``issues``."""
+    """One row per candidate in ``scores``; ordered ``issues``, looked for (with examples) when they are first asked for."""
     scores: DataFrame
-    issues: DataFrame
+    find_issues: Callable[[], DataFrame]
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return self.find_issues()
 
 
 def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: TargetSchema,
@@ -182,6 +187,8 @@ def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: Targ
     sums = rule_rows.groupBy("candidate").agg(
         F.avg("cast_score").alias("type"), F.count(F.when(null_hit, 1)).alias("null_hits"),
         F.sum(F.when(not_unique, F.col("key_use")).otherwise(0)).alias("unique_hits"),
+        F.count_if((F.col("cast_score") == 0)).alias("never_cast"),
+        F.count_if(null_hit & (F.col("null_rate") > K.NULL_RATE_CRITICAL)).alias("mostly_null"),
         F.avg("confidence").alias("conf"))
     group_hits = None
     if groups:
@@ -197,22 +204,25 @@ def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: Targ
         F.greatest(F.lit(0.0), 1 - F.coalesce("null_hits", F.lit(0)) * K.NULL_PENALTY).alias("null_score"),
         F.greatest(F.lit(0.0), 1 - F.coalesce("unique_hits", F.lit(0)) * K.UNIQUE_PENALTY).alias("unique_score"),
         (1 - F.col("missing") / F.col("required_n")).alias("required_score"),
-        F.coalesce("conf", F.lit(0.0)).alias("confidence_score"))
+        F.coalesce("conf", F.lit(0.0)).alias("confidence_score"),
+        # What the issues call critical, counted without looking for their examples.
+        (F.col("missing") + F.coalesce("never_cast", F.lit(0)) + F.coalesce("mostly_null", F.lit(0)) + F.coalesce("unique_hits", F.lit(0))).alias("criticals"))
     total = (F.col("type_score") * w["type"] + F.col("null_score") * w["null"]
              + F.col("unique_score") * w["unique"] + F.col("required_score") * w["required"]
              + F.col("confidence_score") * w["confidence"])
-    issues = _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, group_hits, row_idx)
-    critical = issues.filter("severity = 'critical'").groupBy("candidate").agg(F.count(F.lit(1)).alias("criticals"))
-    scores = parts.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))).join(
-        critical, "candidate", "left").withColumn("criticals", F.coalesce("criticals", F.lit(0)))
-    return Evaluation(scores.withColumn(
-        "passed", (F.round("score", 9) >= K.PASS_SCORE) & (F.col("criticals") == 0)), order_issues(issues))
+    scores = parts.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
+    columns = [c for c in scores.columns if c != "criticals"]
+    return Evaluation(
+        scores.select(*columns, F.col("criticals").cast("bigint").alias("criticals"),
+                      ((F.round("score", 9) >= K.PASS_SCORE) & (F.col("criticals") == 0)).alias("passed")),
+        lambda: order_issues(_issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, group_hits, row_idx)))
 
 
 def order_issues(issues: DataFrame) -> DataFrame:
-    """Critical, then warning, then info; stable within each."""
+    """Critical, then warning, then info; stable within each. ``place`` counts them per candidate from 1."""
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in K.SEVERITY_RANK.items() for x in kv]), F.col("severity"))
-    return issues.orderBy("candidate", rank, "section", "ord")
+    placed = issues.withColumn("place", F.row_number().over(Window.partitionBy("candidate").orderBy(rank, "section", "ord")))
+    return placed.orderBy("candidate", "place")
 
 
 def _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, group_hits, row_idx) -> DataFrame:
@@ -227,7 +237,7 @@ def _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, gro
 
     found = [
         issue(low_cast, 1, F.when(F.col("cast_score") == 0, "critical").otherwise("warning"),
-              F.concat(s('Type cast "'), "transformation", s('" fails on '), pct, s(" of values"))),
+              F.concat(pct, s(" of values do not read as "), "transformation")),
         issue(null_hit, 2, F.when(F.col("null_rate") > K.NULL_RATE_CRITICAL, "critical").otherwise("warning"),
               F.concat(F.format_string("%.0f%%", F.col("null_rate") * 100),
                        s(" null rate into NOT NULL column "), "target")),
@@ -236,7 +246,7 @@ def _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, gro
                        F.col("total_count").cast("string"), s(" rows, but "), "target", s(" must be unique")),
               F.col("key_use")),
         issue(F.col("confidence") < K.LOW_CONFIDENCE, 5, s("warning"),
-              F.concat(F.format_string("Low confidence (%.2f) for ", "confidence"), "target")),
+              F.concat(s("the rule for "), "target", F.format_string(" is unsure of itself: %.2f", "confidence"))),
         issue(F.col("max_length") > F.col("target_length"), 6, s("warning"),
               F.concat(s("values up to "), F.col("max_length").cast("string"), s(" characters, "), "target",
                        s(" takes "), F.col("target_length").cast("string"))),
@@ -271,7 +281,7 @@ def _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, gro
 def evaluate_mapping(df: DataFrame, mapping: Mapping, target: TargetSchema, **options) -> Evaluation:
     """V7: score, breakdown, pass flag and issues of one mapping."""
     found = evaluate_mappings(df, [mapping], target, **options)
-    return Evaluation(found.scores.drop("candidate"), found.issues.drop("candidate"))
+    return Evaluation(found.scores.drop("candidate"), lambda: found.issues.drop("candidate"))
 
 
 def best_mapping(df: DataFrame, candidates: Sequence[Mapping], target: TargetSchema, **options) -> DataFrame:

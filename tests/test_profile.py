@@ -98,3 +98,22 @@ def test_stratified_sample_is_deterministic(spark):
             assert idx[:10] == list(range(10)) and idx[-10:] == list(range(n - 10, n))
     assert stratified_sample(spark.range(1000).withColumnRenamed("id", "row_idx")).count() == 50
     assert stratified_sample(spark.range(0).withColumnRenamed("id", "row_idx")).count() == 0
+
+
+def test_columns_vote_on_the_order_of_day_and_month(spark):
+    from quaymaster.model import Mapping, MappingRule
+    from quaymaster.operators.dates import infer_formats, with_inferred_formats
+
+    columns = {"us": ["03/04/2024", "12/31/2024", "N/A"], "eu": ["3.4.24", "31.12.24", ""], "open": ["03-04-2024", "01-02-2024", None],
+               "both": ["31/12/2024", "12/31/2024", "1/31/2024"], "named": ["Mar 5, 2024", "5 march 2024", "x"], "none": [None, "", "soon"]}
+    df = spark.createDataFrame(list(zip(range(3), *columns.values())), "row_idx long, " + ", ".join(f"{c} string" for c in columns))
+    found = {r["column"]: r for r in infer_formats(df, list(columns)).collect()}
+    assert {c: tuple(r["formats"]) for c, r in found.items()} == {
+        "us": ("iso", "month_first"), "eu": ("iso", "day_first"), "open": ("iso", "month_first"), "both": ("iso", "month_first", "day_first"),
+        "named": ("iso", "named"), "none": ("iso",)}
+    assert {c for c, r in found.items() if r["ambiguous"]} == {"open"} and {c for c, r in found.items() if r["mixed"]} == {"both"}
+    assert (found["us"]["live"], found["us"]["either"], found["none"]["other"]) == (2, 1, 1)
+    assert infer_formats(df, ["open"], unsure="day_first").first()["formats"] == ["iso", "day_first"]
+    assert infer_formats(df.limit(0), ["us"]).first()["live"] == 0
+    mapping, warnings = with_inferred_formats(df, Mapping((MappingRule("eu", "d"), MappingRule("x", "y"))), ["eu", "open", "both"])
+    assert mapping.rules[0].formats == ("iso", "day_first") and mapping.rules[1].formats == () and len(warnings) == 2 == len(mapping.warnings)
