@@ -148,9 +148,9 @@ class DryRun:
     summary: DataFrame
 
 
-def dry_run(df: DataFrame, target: TargetSchema, sample: int | None = K.DRY_RUN_SAMPLE,
+def dry_run(df: DataFrame, target: TargetSchema, sample: int | None = None,
             total: int | None = None, keys: Sequence[str] | None = None, existing: DataFrame | None = None, **checks) -> DryRun:
-    """V9: would these rows be accepted? Nothing is written. ``sample=None`` tests all rows.
+    """V9: would these rows be accepted? Nothing is written. All rows are tested, or a stratified ``sample`` of that many.
 
     With ``keys`` an upsert by them is meant: they may not be NULL, and the other unique
     groups are tested within the rows and against the ``existing`` table.

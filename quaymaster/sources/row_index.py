@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from quaymaster.session import cut_lineage
 
@@ -25,7 +25,8 @@ def with_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: s
     File frames (apply it to the read itself, before any filter) follow file path
     and position, at the price of one narrow counting pass and no shuffle of data.
     Other frames name their order columns; they are sorted once and checkpointed,
-    because two evaluations of a range-partitioned sort may cut it differently.
+    because two evaluations of a range-partitioned sort may cut it differently. Rows that share the order columns
+    follow a hash of all their columns, so that their order is fixed and many of them need not go to one task.
     """
     if order_by is not None:
         return _from_sort(df, order_by, name)
@@ -59,8 +60,15 @@ def _from_splits(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return placed.select(index.alias(name), *columns)
 
 
+def _holds(dtype: T.DataType, kinds: tuple) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds(f.dataType, kinds) for f in dtype.fields)
+    return isinstance(dtype, kinds) or isinstance(dtype, T.ArrayType) and _holds(dtype.elementType, kinds)
+
+
 def _from_sort(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
-    fixed = cut_lineage(df.orderBy(*order_by))
+    hashable = [f"`{f.name}`" for f in df.schema.fields if not _holds(f.dataType, (T.MapType, T.VariantType))]
+    fixed = cut_lineage(df.orderBy(*order_by, F.xxhash64(*hashable)) if hashable else df.orderBy(*order_by))
     tagged = fixed.select("*", F.spark_partition_id().alias("_part"),
                           F.monotonically_increasing_id().alias("_id")).withColumn("_split", F.xxhash64("_part"))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"), F.min("_id").alias("_first")).persist()

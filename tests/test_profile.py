@@ -117,3 +117,32 @@ def test_columns_vote_on_the_order_of_day_and_month(spark):
     assert infer_formats(df.limit(0), ["us"]).first()["live"] == 0
     mapping, warnings = with_inferred_formats(df, Mapping((MappingRule("eu", "d"), MappingRule("x", "y"))), ["eu", "open", "both"])
     assert mapping.rules[0].formats == ("iso", "day_first") and mapping.rules[1].formats == () and len(warnings) == 2 == len(mapping.warnings)
+
+
+def test_states_of_parts_merge_to_the_state_of_the_whole(spark, tmp_path):
+    from quaymaster.operators.sketches import column_states, merge_states, profile_of_states
+
+    rows = [(i, str(i % 700), f" v{i % 9}" if i % 4 else "n/a", None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "row_idx long, n string, t string, e string")
+    parts = column_states(df.filter("row_idx < 100")).union(column_states(df.filter("row_idx >= 100 AND row_idx < 4000"))).union(
+        column_states(df.filter("row_idx >= 4000"))).union(column_states(df.limit(0)))
+    parts.write.parquet(str(tmp_path / "states"))
+    stored = spark.read.parquet(str(tmp_path / "states"))
+    twice = merge_states(merge_states(stored.limit(0).union(stored)))
+    merged, whole = ({r["column"]: r for r in profile_of_states(s).collect()} for s in (twice, column_states(df)))
+    exact = ("inferred_type", "null_rate", "total_count", "min_length", "max_length", "patterns")
+    for c in ("n", "t", "e"):
+        assert [merged[c][x] for x in exact] == [whole[c][x] for x in exact]
+    assert (merged["n"]["inferred_type"], merged["n"]["total_count"], merged["t"]["null_rate"], merged["e"]["patterns"]) == ("integer", 6000, 0.25, ["all_null"])
+    stats = merged["n"]["numeric_stats"]
+    assert (stats["min"], stats["max"]) == (0, 699) and abs(stats["median"] - 350) < 25 and abs(stats["p95"] - 664) < 25
+    assert abs(merged["n"]["approx_unique_count"] - 700) <= 0.06 * 700 and merged["t"]["approx_unique_count"] == 9 and merged["e"]["approx_unique_count"] == 0
+    assert sum(v["count"] for v in merged["t"]["approx_top_values"]) == 4500 and merged["e"]["approx_top_values"] == []
+
+
+def test_rows_that_share_the_order_are_numbered_in_a_fixed_order(spark):
+    from quaymaster.sources.row_index import with_row_index
+
+    df = spark.range(500).selectExpr("id % 3 AS k", "cast(id AS string) AS v", "array(id) AS a")
+    numbers = [{r["v"]: r["row_idx"] for r in with_row_index(x, ["k"]).collect()} for x in (df.repartition(5), df.repartition(2, "v"))]
+    assert numbers[0] == numbers[1] and sorted(numbers[0].values()) == list(range(500))

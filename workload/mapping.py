@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaymaster import constants as K
 from quaymaster.model import Mapping, MappingHints, MappingRule, Transform
 from quaymaster.operators.errors import error_count, has_errors
 from quaymaster.operators.mapping import (
@@ -13,6 +12,7 @@ from quaymaster.operators.mapping import (
 from quaymaster.operators.validate import (
     failure_summary, split_valid, validate_output,
 )
+from workload import expected as K
 from workload.inputs import (
     DIRTY_ORDERS_SQL as DIRTY, ORDERS_MAPPING, ORDERS_TARGET, indexed_orders, table,
 )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaymaster import constants as K
+from quaymaster import functions as fn
 from quaymaster.operators import profile as prof
+from quaymaster.operators.sketches import column_states, merge_states, profile_of_states
 from quaymaster.operators.topk import first_k_per_group
+from workload import expected as K
 from workload.inputs import (
     DIRTY_ORDERS_SQL as DIRTY, MESSY_EVENTS_SQL as EVENTS, indexed_orders, messy_events, table,
 )
@@ -237,3 +239,39 @@ WHERE rn <= 3""")
 def q_first_k(spark, sf):
     df = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
     return first_k_per_group(df, ["o_custkey"], 3, ["o_orderkey"]).withColumn("rn", c("rn").cast("bigint"))
+
+
+_MERGED = ("props", "email_txt", "money_txt", "num_txt")
+
+
+def _merged_sql(x: str) -> str:
+    live, number = f"NOT {nullish(x)}", extract_number(x)
+    gate = f"count(CASE WHEN {live} THEN {number} END) >= 0.6 * count(CASE WHEN {live} THEN 1 END) AND count(CASE WHEN {live} THEN {number} END) > 0"
+    return f"""SELECT '{x}' AS "column", round(1 - count(CASE WHEN {live} THEN 1 END) / count(*), 6) AS null_rate, count(*) AS total_count,
+ min(CASE WHEN {live} THEN length({x}) END) AS min_length, max(CASE WHEN {live} THEN length({x}) END) AS max_length,
+ CASE WHEN {gate} THEN min(CASE WHEN {live} THEN {number} END) END AS "min", CASE WHEN {gate} THEN max(CASE WHEN {live} THEN {number} END) END AS "max",
+ true AS distinct_near, CASE WHEN {gate} THEN true END AS median_near, true AS top_near FROM ({EVENTS}) e"""
+
+
+@query("q_merged_profile", " UNION ALL ".join(map(_merged_sql, _MERGED)))
+def q_merged_profile(spark, sf):
+    """States of three parts of the table, merged: exact figures are exact, sketched ones within their error."""
+    df = messy_events(spark, sf).select("row_idx", *_MERGED)
+    states = [column_states(df.filter(F.col("row_idx") % 3 == i)) for i in range(3)]
+    merged = profile_of_states(merge_states(states[0].union(states[1]).union(states[2])))
+    found = {r["column"]: r for r in merged.collect()}  # one row a column
+    tests = []
+    for x in _MERGED:
+        live = ~fn.is_nullish(F.col(x))
+        number = F.when(live, fn.extract_number(F.col(x)))
+        numeric, first = found[x]["numeric_stats"], found[x]["approx_top_values"][:1]
+        exact = F.count_distinct(F.when(live, fn.js_trim(F.col(x))))
+        below, upto = [F.avg(test.cast("int")) for test in (number < numeric["median"], number <= numeric["median"])] if numeric else (None, None)
+        near = (below <= 0.53) & (upto >= 0.47) if numeric else F.lit(None).cast("boolean")
+        seen = F.count_if(live & (fn.js_trim(F.col(x)) == first[0]["value"])) if first else F.lit(0)
+        tests.append(F.struct(F.lit(x).alias("column"), (F.abs(exact - found[x]["approx_unique_count"]) <= 0.06 * exact).alias("distinct_near"), near.alias("median_near"),
+                              (F.abs(seen - (first[0]["count"] if first else 0)) <= F.count("*") / 1000).alias("top_near")))
+    near = df.agg(F.array(*tests).alias("t")).select(F.inline("t"))
+    return merged.join(F.broadcast(near), "column").select(
+        "column", F.round("null_rate", 6).alias("null_rate"), "total_count", "min_length", "max_length", "numeric_stats.min", "numeric_stats.max",
+        "distinct_near", "median_near", "top_near")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from quaymaster import constants as K
+from workload import expected as K
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from quaymaster import constants as K, functions as fn
+from quaymaster import functions as fn
+from workload import expected as K
 from workload.inputs import DIRTY_ORDERS_SQL as DIRTY, dirty_orders, table
 from workload.registry import (
     day, extract_number, iso, match, nullish, prefix, query, strip_currency, t, ts, words,

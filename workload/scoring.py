@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaymaster import constants as K
 from quaymaster.model import Mapping, MappingRule, TargetColumn, TargetSchema
 from quaymaster.operators import evaluate as ev
+from workload import expected as K
 from workload.inputs import ORDERS_MAPPING, ORDERS_TARGET, indexed_orders, table
 from workload.profiling import LIVE, LONG_ORDERS, ORDER_COLUMNS
 from workload.registry import extract_number, match, query, t, ts
