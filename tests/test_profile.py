@@ -146,3 +146,26 @@ def test_rows_that_share_the_order_are_numbered_in_a_fixed_order(spark):
     df = spark.range(500).selectExpr("id % 3 AS k", "cast(id AS string) AS v", "array(id) AS a")
     numbers = [{r["v"]: r["row_idx"] for r in with_row_index(x, ["k"]).collect()} for x in (df.repartition(5), df.repartition(2, "v"))]
     assert numbers[0] == numbers[1] and sorted(numbers[0].values()) == list(range(500))
+
+
+def test_candidate_keys_are_those_of_brute_force(spark):
+    import random
+    from itertools import combinations
+
+    from quaymaster.operators.keys import candidate_keys
+
+    rng = random.Random(12)
+    for n, spread in ((30, 4), (60, 6), (300, 12)):
+        rows = [(rng.randrange(spread), rng.randrange(spread), rng.randrange(spread * 2), "a" * 70 + str(rng.randrange(n)), rng.choice([None, 1]), i) for i in range(n)]
+        df = spark.createDataFrame(rows, "a int, b int, c int, t string, gap int, id int")
+        for names in (["a", "b", "c", "t", "gap"], ["id", "a", "t"]):
+            at = [df.columns.index(c) for c in names]
+            want = []
+            for size in (1, 2, 3):
+                for s in combinations(range(len(names)), size):
+                    values = [tuple(r[at[i]] for i in s) for r in rows]
+                    if not any(set(k) <= set(s) for k in want) and len(set(values)) == n and not any(None in v for v in values):
+                        want.append(s)
+            assert candidate_keys(df.select(names)).keys == tuple(tuple(names[i] for i in s) for s in want)
+    assert candidate_keys(df.limit(0)).keys == ()
+    assert candidate_keys(spark.createDataFrame([("a", "bc"), ("ab", "c")], "x string, y string")).keys == (("x",), ("y",))

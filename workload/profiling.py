@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from quaymaster import functions as fn
 from quaymaster.operators import profile as prof
+from quaymaster.operators.keys import candidate_keys
 from quaymaster.operators.sketches import column_states, merge_states, profile_of_states
 from quaymaster.operators.topk import first_k_per_group
+from quaymaster.session import small_frame
 from workload import expected as K
 from workload.inputs import (
     DIRTY_ORDERS_SQL as DIRTY, MESSY_EVENTS_SQL as EVENTS, indexed_orders, messy_events, table,
@@ -275,3 +279,27 @@ def q_merged_profile(spark, sf):
     return merged.join(F.broadcast(near), "column").select(
         "column", F.round("null_rate", 6).alias("null_rate"), "total_count", "min_length", "max_length", "numeric_stats.min", "numeric_stats.max",
         "distinct_near", "median_near", "top_near")
+
+
+# --- candidate keys ----------------------------------------------------------------------------------
+
+_KEY_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+
+
+def _key_sets(size: int):
+    return list(combinations(_KEY_COLUMNS, size))
+
+
+def _unique_sql(columns) -> str:
+    listed = ", ".join(columns)
+    return f"SELECT '{','.join(columns)}' AS \"key\", {len(columns)} AS size, (SELECT count(*) FROM (SELECT DISTINCT {listed} FROM lineitem) d) = (SELECT count(*) FROM lineitem) AS ok"
+
+
+@query("q_candidate_keys", f"""
+WITH s AS ({' UNION ALL '.join(_unique_sql(x) for n in (1, 2, 3) for x in _key_sets(n))})
+SELECT "key", size FROM s a WHERE ok AND NOT EXISTS (SELECT 1 FROM s b WHERE b.ok AND b.size < a.size
+ AND len(list_intersect(string_split(a."key", ','), string_split(b."key", ','))) = b.size)""")
+def q_candidate_keys(spark, sf):
+    """The smallest sets of up to three columns that tell all lines apart, against all 25 sets."""
+    found = candidate_keys(table(spark, sf, "lineitem").select(*_KEY_COLUMNS)).keys
+    return small_frame(spark, [(",".join(k), len(k)) for k in found], "key string, size int")
