@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping as MappingABC, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quaymaster import constants as K
 from quaymaster.functions.text import js_trim
 from quaymaster.model import TargetSchema
-from quaymaster.operators.errors import Violation, collect_errors, error, has_errors, merge_errors
+from quaymaster.operators.errors import ERROR_TYPE, Violation, collect_errors, error, has_errors, merge_errors
 from quaymaster.operators.mapping import ROW_IDX, quoted
 from quaymaster.operators.sampling import stratified_sample
 from quaymaster.operators.validate import check_errors, output_errors
@@ -142,6 +142,39 @@ def unique_clashes(df: DataFrame, target: TargetSchema, keys: Sequence[str], exi
     return out
 
 
+_LATER = 1 << 48  # puts repaired rows behind all others where the first row met is the good one
+
+
+def prove_repairs(rows: DataFrame, target: TargetSchema, keys: Sequence[str], existing: DataFrame | None = None) -> DataFrame:
+    """Bucketed rows in which no accepted row holds a unique value of another key, repaired rows included.
+
+    A repair changes values after the set-level checks. Only the values that repaired rows now hold are looked at again, in these rows and
+    in the ``existing`` table; a row that was good before keeps a value against a repaired one, and of repaired rows the first does. What
+    clashes is ``unresolved`` with a ``duplicate_key`` entry. One round is enough: whoever keeps a value holds it alone.
+    """
+    clashes = None
+    accepted = rows.filter(F.col("bucket").isin("loaded", "repaired"))
+    for group in target.other_unique(keys):
+        if any(c not in rows.columns for c in (*group, *keys)):
+            continue
+        touched = accepted.filter("bucket = 'repaired'").select(*group).filter(_all_set(group)).distinct()
+        met = accepted.join(touched, list(group), "left_semi").select(
+            F.when(F.col("bucket") == "repaired", F.col(ROW_IDX) + _LATER).otherwise(F.col(ROW_IDX)).alias(ROW_IDX),
+            *dict.fromkeys([*keys, *group]), F.lit(None).cast(ERROR_TYPE).alias("errors"))
+        held = None if existing is None else existing.join(
+            touched.select(*[quoted(c).cast(existing.schema[c].dataType).alias(c) for c in group]), list(group), "left_semi")
+        found = unique_clashes(met, replace(target, primary_key=(), unique=(tuple(group),)), keys, held).filter(has_errors()).select(
+            (F.col(ROW_IDX) % _LATER).alias(ROW_IDX), F.col("errors").alias("_clash"))
+        clashes = found if clashes is None else clashes.union(found)
+    if clashes is None:
+        return rows
+    per_row = clashes.groupBy(ROW_IDX).agg(F.flatten(F.collect_list("_clash")).alias("_clash"))
+    hit = F.col("_clash").isNotNull()
+    return rows.join(per_row, ROW_IDX, "left").withColumns({
+        "errors": F.when(hit, merge_errors(F.col("errors"), F.col("_clash"))).otherwise(F.col("errors")),
+        "bucket": F.when(hit, "unresolved").otherwise(F.col("bucket"))}).select(*[quoted(c) for c in rows.columns])
+
+
 @dataclass
 class DryRun:
     rows: DataFrame

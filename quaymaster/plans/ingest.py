@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quaymaster import constants as K
 from quaymaster.model import FixRule, Mapping, MappingHints, TargetSchema, Transform
-from quaymaster.operators.constraints import check_constraints, dry_run, duplicate_keys, unique_clashes
+from quaymaster.operators.constraints import check_constraints, dry_run, duplicate_keys, prove_repairs, unique_clashes
 from quaymaster.operators.evaluate import evaluate_mapping
 from quaymaster.operators.mapping import (
     ROW_IDX, apply_mapping, apply_transforms, dropped_columns, fit_target, quoted, retain_target, split_empty_rows,
@@ -54,7 +54,7 @@ def bucketed_rows(df: DataFrame, mapping: Mapping, target: TargetSchema, rules:
     """(every input row in its bucket, the coercion warnings).
 
     With ``keys`` rows without a complete key and rows whose unique values belong to
-    another key, here or in the ``existing`` table, are rejects too.
+    another key, here or in the ``existing`` table, are rejects too; of repaired rows that is tested again.
 
     The checked rows are held (memory, then disk): good rows, rejects and warnings
     are three readings of them, and coercion should run once per row.
@@ -70,7 +70,8 @@ def bucketed_rows(df: DataFrame, mapping: Mapping, target: TargetSchema, rules:
     typed = good.select(ROW_IDX, *[
         stored(quoted(c), target.column(c)).alias(c) for c in good.columns if c != ROW_IDX])
     warnings = bad.select(F.explode("errors").alias("e")).filter(F.col("e.code") == K.BAD_CAST).select("e.*")
-    return bucket_rows(typed, repair(bad, rules, target, max_retries, safe_mode), empty), warnings
+    rows = bucket_rows(typed, repair(bad, rules, target, max_retries, safe_mode), empty)
+    return prove_repairs(rows, target, keys, existing) if keys and rules else rows, warnings
 
 
 def run_ingestion(df: DataFrame, mapping: Mapping, target: TargetSchema, target_df: DataFrame,

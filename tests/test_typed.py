@@ -201,3 +201,17 @@ def test_column_functions_give_null_where_they_would_throw(spark):
 def test_what_cannot_be_made_tolerant_is_refused_early(spark, text):
     with pytest.raises(ValueError):
         apply_transforms(one_column(spark, ["1"]), [Transform.sql("v", "o", text)])
+
+
+def test_repaired_rows_are_held_against_the_others_once_more(spark):
+    target = TargetSchema("t", (TargetColumn("id", "bigint", nullable=False), TargetColumn("name", "character varying", max_length=3)),
+                          primary_key=("id",), unique=(("name",),))
+    rows = [(0, "0", "abcd"), (1, "1", "abc"), (2, "2", "xyz1"), (3, "3", "xyz2"), (4, "4", "old9"), (5, "2", "xyz3"), (6, "6", "solo")]
+    df = spark.createDataFrame(rows, "row_idx long, id string, name string")
+    existing = spark.createDataFrame([(9, "old"), (6, "sol")], "id long, name string")
+    done = run_ingestion(df, Mapping((MappingRule("id", "id"), MappingRule("name", "name"))), target, existing, ["id"], [FixRule("truncate", "too_long", "name")])
+    got = {r["row_idx"]: (r["bucket"], r["errors"] and r["errors"][-1]["code"]) for r in done.rows.collect()}
+    # The good row keeps its value against an earlier repaired one; one key may hold a value in several rows.
+    assert got == {0: ("unresolved", "duplicate_key"), 1: ("loaded", None), 2: ("repaired", None), 3: ("unresolved", "duplicate_key"),
+                   4: ("unresolved", "duplicate_key"), 5: ("repaired", None), 6: ("repaired", None)}
+    assert sorted((r["id"], r["name"]) for r in done.merged.collect()) == [(1, "abc"), (2, "xyz"), (6, "sol"), (9, "old")]

@@ -191,3 +191,24 @@ def q_preflight(spark, sf):
     """Sure and unsure rules and columns that feed nothing."""
     df = indexed_orders(spark, sf)
     return preflight(spark, ORDERS_MAPPING, ORDERS_TARGET, df.columns).drop("note")
+
+
+UNIQUE_NAMES = TargetSchema("unique_names", (TargetColumn("id", "bigint", nullable=False), TargetColumn("name", "character varying", nullable=False, max_length=15)),
+                            primary_key=("id",), unique=(("name",),))
+
+
+@query("q_proved_repairs", """
+WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'n' || c_custkey END AS name FROM customer),
+ held AS (SELECT 'Customer#000001' AS name UNION SELECT 'n' || c_custkey FROM customer WHERE c_custkey % 7 = 0),
+ f AS (SELECT k, name, length(name) > 15 AS long, substr(name, 1, 15) AS cut, row_number() OVER (PARTITION BY length(name) > 15, substr(name, 1, 15) ORDER BY k) AS place FROM r)
+SELECT k AS row_idx, CASE WHEN NOT long AND cut IN (SELECT name FROM held) THEN 'unresolved' WHEN NOT long THEN 'loaded'
+ WHEN place = 1 AND cut NOT IN (SELECT name FROM held) THEN 'repaired' ELSE 'unresolved' END AS bucket FROM f""")
+def q_proved_repairs(spark, sf):
+    """Names cut to length may become equal to one another or to a name in the table; the first keeps it."""
+    customers = table(spark, sf, "customer")
+    df = customers.selectExpr("c_custkey AS row_idx", "cast(c_custkey AS string) AS id", "CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'n' || c_custkey END AS name")
+    existing = customers.filter("c_custkey % 7 = 0").selectExpr("cast(-c_custkey AS bigint) AS id", "'n' || c_custkey AS name").union(
+        customers.agg(F.lit(-1000000).cast("bigint").alias("id"), F.lit("Customer#000001").alias("name")))
+    mapping = Mapping((MappingRule("id", "id"), MappingRule("name", "name")))
+    rows, _ = bucketed_rows(df, mapping, UNIQUE_NAMES, [FixRule("truncate", "too_long", "name")], keys=["id"], existing=existing)
+    return rows.select("row_idx", "bucket")
