@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quaymaster.llm.common import blocks, struct, whole, written
+from quaymaster.llm.common import blocks, bounded_batches, struct, whole, written
 
 BLOCK_BYTES = 1 << 20
 ROWS = 256  # rows decoded at a time
@@ -133,6 +133,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = 32_768, overla
     texts count as empty and give an empty list; an empty table gives an empty result.
     Only the two named columns are read. ``path`` must be readable on the executors.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     short = (texts.filter(F.length("text") <= chunk + overlap)

@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARD_BYTES = 16 << 20
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "256"}
 
 
 def lower_ascii(text: Column) -> Column:
@@ -36,23 +38,67 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folders.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="corpus-")
+        _own_folders[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
+_own_folders: dict[str, str] = {}  # of local sessions without a folder, by application
+_lists_of_paths: list[list[str]] = []  # the paths written within each open :func:`temporary_tables`
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Later jobs read the files, so a lost executor costs no recomputation and rows
-    keep the keys they were given. The tables stay until the scratch folder is emptied.
+    keep the keys they were given. Tables written within :func:`temporary_tables` go with it;
+    others stay until the scratch folder is emptied.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _lists_of_paths:
+        _lists_of_paths[-1].append(path)
+    bounded_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller batches of rows from scans and to Python workers, unless the session has its own.
+
+    Texts are long: a batch of the usual 4,096 or 10,000 of them exists several times over, as vectors that grow by doubling.
+    """
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables :func:`written` within are deleted at the end; paths taken out of the list given stay."""
+    paths: list[str] = []
+    _lists_of_paths.append(paths)
+    try:
+        yield paths
+    finally:
+        _lists_of_paths.pop()
+        for path in paths:
+            delete(spark, path)
+
+
+def keep_last(paths: list[str]) -> None:
+    """The table written last outlives this :func:`temporary_tables`; one around it, if any, deletes it."""
+    path = paths.pop()
+    if len(_lists_of_paths) > 1:
+        _lists_of_paths[-2].append(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder, wherever that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shard_count(texts: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
     """Number of shards of about ``shard_bytes`` of text each (one narrow count)."""
     total = texts.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

@@ -1,7 +1,7 @@
 """Language of a text: multinomial naive Bayes over hashed character n-grams.
 
 Training sums n-gram counts per language and hash bin inside each task; only those
-sums (languages x bins) reach the driver and become the log-probability matrix that
+sums (languages x bins, some languages at a time) reach the driver and become the log-probability matrix that
 is broadcast. Scoring hashes all n-grams of a block of texts at once and adds the
 matrix rows per text.
 """
@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quaymaster.llm.common import blocks, struct
+from quaymaster.llm.common import blocks, bounded_batches, struct, written
 
 NGRAMS = (1, 2, 3)
 BINS = 1 << 15
 BLOCK_CHARS, BLOCK_BYTES = 1 << 19, 2 << 20  # code points hashed and bytes of text taken at a time
+COUNTED_TOGETHER = 64  # languages whose counts a task or the driver holds at a time, at 256 KB each
 MOST_LANGUAGES = 1_000  # a matrix of at most 131 MB is broadcast
 SAMPLE_ROWS = 20_000  # training rows a language, about; the bound of the fitted sample
 UNDETERMINED = "und"
@@ -83,44 +84,60 @@ def _per_segment(codes, starts, rows, n, bins, overlap):
 def _count(languages: list[str], bins: int, ngrams: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]):
         index = {x: i for i, x in enumerate(languages)}
-        totals = np.zeros((len(languages), bins), np.int64)
+        totals: dict[int, np.ndarray] = {}
         overlap = max(ngrams) - 1
         for batch in blocks(batches, "text", BLOCK_BYTES):
-            lang = np.array([index[x] for x in batch.column("lang").to_pylist()])
+            if len(totals) > COUNTED_TOGETHER:
+                yield _counted(totals)
+                totals = {}
+            present, lang = np.unique([index[x] for x in batch.column("lang").to_pylist()], return_inverse=True)
+            found = np.zeros((len(present), bins), np.int64)
             for codes, starts, rows in segments(batch.column("text").to_pylist(), overlap):
                 for n in ngrams:
                     grams, owner = _per_segment(codes, starts, rows, n, bins, overlap)
-                    totals += np.bincount(lang[rows[owner, 0]] * bins + grams, minlength=totals.size).reshape(totals.shape)
-        i, j = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(totals[i, j], pa.int64())], names=["lang", "bin", "n"])
+                    found += np.bincount(lang[rows[owner, 0]] * bins + grams, minlength=found.size).reshape(found.shape)
+            for i, counts in zip(present.tolist(), found):
+                totals[i] = totals[i] + counts if i in totals else counts.copy()
+        yield _counted(totals)
     return run
 
 
+def _counted(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """(lang, bin, n) of the bins that occur."""
+    bins = {i: np.flatnonzero(counts) for i, counts in totals.items()}
+    columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.full(len(j), i) for i, j in bins.items()], bins.values(), [totals[i][j] for i, j in bins.items()])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64()))], names=["lang", "bin", "n"])
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, bins: int = BINS,
-        ngrams: tuple[int, ...] = NGRAMS, alpha: float = 0.1) -> LanguageModel:
-    """Fit on rows with a text and a language; about ``sample_rows`` rows a language, chosen by the text's hash.
+        ngrams: tuple[int, ...] = NGRAMS, alpha: float = 0.1, id_col: str = "doc_id") -> LanguageModel:
+    """Fit on rows with a text and a language; about ``sample_rows`` rows a language, chosen by a hash of id and text.
 
-    Languages are values of ``lang_col`` with at least one row, of which there may be 1,000; priors come from all rows.
-    Without such rows the model has no language and every prediction is undetermined.
+    Languages are values of ``lang_col`` with at least one row, of which there may be 1,000 (more raise); priors come from all rows.
+    Copies of a text under different ids are chosen each by itself, so none goes in or out of the sample with all its copies.
+    Without rows to learn from the model has no language and every prediction is undetermined.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    of_row = [F.col(c) for c in (id_col, text_col) if c in docs.columns]
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(*of_row), F.lit(1 << 20)).alias("place"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages; the log-probability matrix is broadcast for no more")
+    counts = {r["lang"]: r["n"] for r in counted}
     languages = sorted(counts)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the log-probability matrix is broadcast for at most {MOST_LANGUAGES}")
     if not languages:
         return LanguageModel((), np.zeros(0), np.zeros((bins, 0)), ngrams)
-    keep = F.lit(False)
-    for x in languages:
-        share = min(1.0, sample_rows / counts[x])
-        keep = F.when(F.col("lang") == x, F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).otherwise(keep)
-    sums = (rows.filter(keep).mapInArrow(_count(languages, bins, ngrams), struct("lang int, bin int, n long"))
-            .groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow())
-    table = np.zeros((bins, len(languages)))
-    table[sums["bin"].to_numpy(), sums["lang"].to_numpy()] = sums["n"].to_numpy()
-    log_p = np.log(table + alpha) - np.log(table.sum(axis=0) + alpha * bins)
+    shares = docs.sparkSession.createDataFrame([(x, int(min(1.0, sample_rows / n) * (1 << 20))) for x, n in counts.items()], "lang string, below int")
+    sample = rows.join(F.broadcast(shares), "lang").filter("place < below").select("lang", "text")
+    sums = written(sample.mapInArrow(_count(languages, bins, ngrams), struct("lang int, bin int, n long")).groupBy("lang", "bin").agg(F.sum("n").alias("n")), "ngram-counts")
+    log_p = np.zeros((bins, len(languages)), np.float32)
+    for first in range(0, len(languages), COUNTED_TOGETHER):
+        part = sums.filter(F.col("lang").between(first, first + COUNTED_TOGETHER - 1)).toArrow()
+        table = np.zeros((bins, min(COUNTED_TOGETHER, len(languages) - first)))
+        table[part["bin"].to_numpy(), part["lang"].to_numpy() - first] = part["n"].to_numpy()
+        log_p[:, first:first + COUNTED_TOGETHER] = np.log(table + alpha) - np.log(table.sum(axis=0) + alpha * bins)
     prior = np.log(np.array([counts[x] for x in languages]) / sum(counts.values()))
-    return LanguageModel(tuple(languages), prior, log_p.astype(np.float32), ngrams)
+    return LanguageModel(tuple(languages), prior, log_p, ngrams)
 
 
 def scores(model: LanguageModel, texts: list[str | None]) -> np.ndarray:
@@ -137,24 +154,34 @@ def scores(model: LanguageModel, texts: list[str | None]) -> np.ndarray:
     return total
 
 
-def _score(shared, keep: list[str]):
-    def run(batches):
-        model = shared.value
-        for batch in blocks(batches, "text", BLOCK_BYTES):
-            lettered = np.array(batch.column("lettered").to_pylist(), bool)
-            pred, conf = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            rows = np.flatnonzero(lettered)
-            if len(model.languages) and len(rows):
-                s = scores(model, batch.column("text").take(pa.array(rows)).to_pylist())
-                p = np.exp(s - s.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                best = p.argmax(axis=1)
-                conf[rows] = p[np.arange(len(rows)), best]
-                for r, b in zip(rows, best):
-                    pred[r] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(conf)],
-                                             names=[*keep, "lang_pred", "score"])
-    return run
+def _judged(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and posterior probability of each text; null texts are undetermined."""
+    pred, conf = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    rows = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+    if len(model.languages) and len(rows):
+        s = scores(model, texts.take(pa.array(rows)).to_pylist())
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        conf[rows] = p[np.arange(len(rows)), best]
+        for r, b in zip(rows, best):
+            pred[r] = model.languages[b]
+    return pred, conf
+
+
+def language_of(text: Column, model: LanguageModel, spark: SparkSession) -> Column:
+    """struct(lang_pred, score) of a text column. Only texts with a letter go to Python; other columns stay where they are."""
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            judged = [_judged(shared.value, part.column("text")) for part in blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", BLOCK_BYTES)]
+            pred, conf = [x for p, _ in judged for x in p], np.concatenate([np.zeros(0), *(c for _, c in judged)])
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(conf)], names=["lang_pred", "score"])
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, struct("lang_pred string, score double"))(F.when(has_letter(text), text))
 
 
 def has_letter(text: Column) -> Column:
@@ -168,17 +195,12 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     where the text is null, empty or has no letter, or nothing was learned. Ties go to the
     smaller language. One row per row of ``docs``; only the two named columns are read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("lettered"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_score(shared, ["id"]), struct(f"id {id_type}, lang_pred string, score double")).withColumnRenamed("id", id_col)
+    judged = docs.select(F.col(id_col), language_of(F.col(text_col), model, docs.sparkSession).alias("judged"))
+    return judged.select(id_col, "judged.lang_pred", "judged.score")
 
 
 def recognised(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with all their columns whose language is determined with a score of ``least`` or more."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("lettered"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = struct("lang_pred string, score double")
-    schema = rows.select("row").schema.add(schema["lang_pred"]).add(schema["score"])
-    kept = rows.mapInArrow(_score(shared, ["row"]), schema).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    judged = docs.select(F.struct("*").alias("row"), language_of(F.col(text_col), model, docs.sparkSession).alias("judged"))
+    kept = judged.filter((F.col("judged.lang_pred") != UNDETERMINED) & (F.col("judged.score") >= least))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
