@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quaymaster.llm.common import blocks, struct, written
+from quaymaster.llm.common import blocks, keep_last, struct, temporary_tables, written
 from quaymaster.llm.components import components
 
 SHINGLE = 5
@@ -255,3 +255,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return same_id.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
                           F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
                           *([F.col("row").alias(row_col), "words_key"] if row_col else []))
+
+
+def one_of_each_group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with all their columns: of each group of near-duplicates the rows of its smallest id, and of those with the same words one.
+
+    Rows without an id are in no group, but of rows with the same words (repeated rows, rows without an id)
+    only one stays, one with an id if there is such a row. Rows without words all stay.
+    """
+    row_col = "row"
+    while row_col in docs.columns:
+        row_col += "_"
+    spark = docs.sparkSession
+    rows = written(docs.withColumn(row_col, F.monotonically_increasing_id()), "near-rows")
+    # All that leads to the rows that stay is deleted as soon as these are written.
+    with temporary_tables(spark) as paths:
+        groups = written(near_duplicates(rows, percent, id_col, text_col, row_col).select(
+            F.col(id_col).alias("id"), "component_id", F.col(row_col).alias("row"), "words_key"), "near-groups")
+        others = groups.filter(F.col("component_id") < F.col("id")).select("id").distinct()
+        left = groups.join(others, "id", "left_anti")
+        # The least of each class of equal words, as an aggregate: a class of any size is one row per task.
+        firsts = left.filter("words_key is not null").groupBy("words_key").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "row")).alias("first")).select("first.row")
+        kept = written(firsts.union(left.filter("words_key is null").select("row")).withColumnRenamed("row", row_col), "near-kept")
+        keep_last(paths)
+    return rows.join(kept, row_col, "left_semi").select(*docs.columns)

@@ -19,9 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from quaymaster.llm.common import blocks, struct, written
+from quaymaster.llm.common import blocks, bounded_batches, keep_last, struct, temporary_tables, written
 from quaymaster.llm.windows import sliding_minimum, window_hashes
 
 WINDOW = 400
@@ -276,13 +276,11 @@ def _measure(batches):
                                           pa.array([hashlib.sha256(f[0]).hexdigest() for f in found], pa.string())], names=["key", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _shorten(batches):
-    """Characters of which a cut left only some bytes are dropped."""
-    for part in blocks(batches, "text", BLOCK_BYTES):
-        left = []
-        for text, gone, spans in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), part.column("spans").to_pylist()):
-            left.append("" if gone else _without(text.encode("utf-8", "surrogatepass"), spans)[0].decode("utf-8", "ignore") if spans and text else text)
-        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(left, pa.string())], names=["row", "text"])
+@F.arrow_udf(T.StringType())
+def _shortened(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans; characters of which a cut left only some bytes are dropped. Null texts stay null."""
+    left = [text.as_py() and _without(text.as_py().encode("utf-8", "surrogatepass"), cut.as_py())[0].decode("utf-8", "ignore") for text, cut in zip(texts, spans)]
+    return pa.array(left, pa.string())
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -326,10 +324,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A character of which a byte was removed goes whole. A null text stays null; texts that lose everything become empty.
     """
-    classes, spans = plan_cuts(_keyed(docs, id_col, text_col))
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
-    plan = classes.select("key", gone.alias("gone")).join(spans.drop("id"), "key", "left").filter("gone or spans is not null")
+    bounded_batches(docs.sparkSession)
+    # Of all that is written on the way only the cuts are needed later.
+    with temporary_tables(docs.sparkSession) as paths:
+        classes, spans = plan_cuts(_keyed(docs, id_col, text_col))
+        gone = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
+        plan = written(classes.select("key", gone.alias("gone")).join(spans.drop("id"), "key", "left").filter("gone or spans is not null"), "repeat-cuts")
+        keep_last(paths)
     rows = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
-    joined = rows.join(plan, "key", "left").select("row", F.col("row").getField(text_col).alias("text"), F.coalesce("gone", F.lit(False)).alias("gone"), "spans")
-    shorter = joined.mapInArrow(_shorten, joined.select("row", "text").schema)
-    return shorter.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    text = F.col("row").getField(text_col)
+    # Only texts that lose bytes go to Python; those that lose all and those that lose none stay where they are.
+    joined = rows.join(plan, "key", "left").withColumn("cut", _shortened(F.when(F.col("spans").isNotNull(), text), "spans"))
+    shorter = F.when(F.col("gone"), F.lit("")).when(F.col("spans").isNotNull(), F.col("cut")).otherwise(text)
+    return joined.select(*[shorter.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -80,7 +80,7 @@ def vectors(n=3000, dim=16):
 
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(permutation_index, "BLOCK_ROWS", 800)
-    monkeypatch.setattr(permutation_index, "QUERY_ROWS", 20)
+    monkeypatch.setattr(permutation_index, "QUERY_BYTES", 20 * 16 * 8)  # several passes
     x = vectors()
     rows = [(i, [float(v) for v in r], "s") for i, r in enumerate(x)]
     bad = [(5000, None, "s"), (5001, [], "s"), (5002, [0.0] * 16, "s"), (5003, [math.nan] * 16, "s"), (5050, [None] * 16, "s"), (None, [1.0] * 16, "s"),
@@ -103,6 +103,25 @@ def test_nearest(spark, monkeypatch):
     assert permutation_index.nearest(df.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
+def test_copies_beyond_a_shortlist_hide_no_neighbour(spark):
+    """Half of a block is one vector, more than the rows of a shortlist; neighbours of other queries stay in sight."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 16)).astype(np.float32).astype(float)
+    x[rng.permutation(4000)[:2000]] = x[7]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    got = {}
+    for r in permutation_index.nearest(df, lambda i: i % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    u, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 4000, 100):
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        hits += len(set(np.lexsort((np.arange(4000), -s))[:5].tolist()) & set(got[q]))
+    assert hits / (5 * 40) >= 0.9
+    pivots = permutation_index.fit_pivots(permutation_index.usable(df, "vec_id", "embedding"), 256, 4000)
+    assert len(pivots[16]) == 256 == len(np.unique(pivots[16], axis=0))
+
+
 def test_footrule_is_the_sum_over_the_lists_read():
     x = permutation_index._unit(vectors(300))
     index = permutation_index.PermutationIndex(x, x[:40])
@@ -150,8 +169,16 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert {tuple(r) for r in kept} <= set(lettered) and len(kept) >= 0.9 * len(lettered)
 
     one = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
+    assert one.columns == docs.columns
     others = {i for i, _, c, _ in near_groups(rows, 80) if i is not None and c < i}
-    assert ordered(one.select("doc_id", "text")) == sorted([(i, t) for i, t in rows if i not in others], key=repr)
+    left, seen = [], set()
+    for i, t in sorted([(i, t) for i, t in rows if i not in others], key=lambda r: (r[0] is None, r[0] or 0)):
+        words = tuple((t or "").lower().split())
+        if not words or words not in seen:
+            left.append((i, t))
+        seen.add(words)
+    lower = lambda found: sorted([(i, t and t.split()) for i, t in found], key=repr)
+    assert lower(tuple(r) for r in one.select("doc_id", "text").collect()) == lower(left)
 
     shorter = corpus_pipeline.cut_repeats(spark, docs, "")
     assert shorter.columns == docs.columns
@@ -182,3 +209,25 @@ def test_pipeline_keeps_one_of_repeated_rows_and_rows_without_id(spark, docs):
     assert sorted(((r["doc_id"], letter(r["text"])) for r in got), key=repr) == sorted(
         [(1, "a"), (None, "b"), (7, "c"), (None, "d"), (4, "e"), (4, "f"), (None, " "), (None, " "), (5, " ")], key=repr)
     assert {" ".join(r["text"].lower().split()) for r in got if letter(r["text"]) != " "} == set(text.values())
+
+
+def test_tables_written_on_the_way_are_deleted(spark, docs, tmp_path):
+    import os
+
+    from quaymaster.llm import common
+
+    folder = common.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with common.temporary_tables(spark) as outer:
+        with common.temporary_tables(spark) as paths:
+            first = written(docs.select("doc_id"), "first")
+            second = written(first, "second")
+            common.keep_last(paths)
+        assert second.count() == docs.count() and {os.path.basename(p) for p in outer} == set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) == before
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    with common.temporary_tables(spark):
+        corpus_pipeline.run(spark, str(tmp_path)).count()
+    # Of a whole run only what the last stage reads is left, and that is deleted too when someone asks for it.
+    left = [n for n in set(os.listdir(folder)) - before if os.path.isdir(os.path.join(folder, n))]
+    assert all(n.startswith("source_mixing") for n in left) and len(left) <= 1
