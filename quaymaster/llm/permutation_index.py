@@ -4,8 +4,9 @@ A vector is represented by the order in which it sees the pivots, nearest first.
 block of vectors keeps an inverted file: for every pivot the place it has in each
 vector's order. A query reads the lists of its own nearest pivots, adds up the
 differences of places (footrule distance), and the nearest share of the block is
-ranked again by exact cosine. Blocks of queries meet blocks of vectors; only the best
-few of each meeting are shuffled.
+ranked again by exact cosine. Vectors stay in the task that reads them: blocks of queries of a
+bounded size are broadcast one after another, and only the best few that a task found
+for a query are shuffled. Equal vectors are one entry of a block, however many they are.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quaymaster.llm.common import struct
+from quaymaster.llm.common import struct, written
 
 PIVOTS = 256  # bounded sample: the vectors with the smallest id hashes; places then fit in a byte
 FEWEST_PIVOTS = 16
 LISTS = 128  # nearest pivots of a query whose lists are read
 SHORTLIST = 0.25  # share of a block that is ranked again
 LEAST_SHORTLIST = 256
-BLOCK_ROWS, QUERY_ROWS = 8_192, 2_048
+BLOCK_ROWS = 8_192
+QUERY_BYTES = 16 << 20  # queries broadcast at a time
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -36,12 +39,22 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             .withColumn("dim", F.size("vector")))
 
 
-def fit_pivots(rows: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Distinct unit vectors by dimension, from a sample of ``pivots`` rows chosen by id hash."""
+def fit_pivots(rows: DataFrame, pivots: int = PIVOTS, total: int | None = None) -> dict[int, np.ndarray]:
+    """Unit vectors by dimension: the ``pivots`` different vectors with the smallest hashes.
+
+    Of the ``total`` rows only those with a small hash are compared, unless they are too few: copies all have one hash.
+    """
     by_dim: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect():
+    hashed = rows.select("dim", "vector", F.xxhash64("vector").alias("h"))
+    share = min(1.0, 16 * pivots / max(total or 1, 1)) if total else 1.0
+    for below in (share, 1.0):
+        some = hashed if below == 1.0 else hashed.filter(F.pmod("h", F.lit(1 << 20)) < int(below * (1 << 20)) + 1)
+        found = some.distinct().orderBy("h", "vector").limit(pivots).collect()
+        if len(found) == pivots or below == 1.0:
+            break
+    for r in found:
         by_dim.setdefault(r["dim"], []).append(r["vector"])
-    return {d: _unit(np.unique(np.array(v, float), axis=0)) for d, v in by_dim.items()}
+    return {d: _unit(np.array(v, float)) for d, v in by_dim.items()}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -70,27 +83,71 @@ class PermutationIndex:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray | None, k: int,
-                 shortlist: float = SHORTLIST, lists: int = LISTS) -> list[tuple[int, int, float]]:
-    """(query, vector, cosine) of the ``k`` best of a block for each query, ties to the smaller id."""
+                 shortlist: float = SHORTLIST, lists: int = LISTS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query (ids, cosines) of the ``k`` best of a block, best first, ties to the smaller id.
+
+    Distances and shortlists are of different vectors; of equal ones the ``k`` + 1 smallest ids are kept, which is all that can be listed.
+    """
     by_id = np.argsort(ids, kind="stable")
     ids, units = ids[by_id], _unit(vectors[by_id])
-    wanted = max(math.ceil(shortlist * len(ids)), LEAST_SHORTLIST, k + 1)
-    index = PermutationIndex(units, pivots) if pivots is not None and wanted < len(ids) else None
+    rows = np.ascontiguousarray(units).view(np.dtype((np.void, units.dtype.itemsize * units.shape[1]))).ravel()
+    _, first, of_row = np.unique(rows, return_index=True, return_inverse=True)
+    together = np.argsort(of_row, kind="stable")  # rows of a vector, by id
+    begins = np.searchsorted(of_row[together], np.arange(len(first) + 1))
+    units = units[first]
+    wanted = max(math.ceil(shortlist * len(units)), LEAST_SHORTLIST, k + 1)
+    index = PermutationIndex(units, pivots) if pivots is not None and wanted < len(units) else None
     found = []
     for query, unit in zip(query_ids, _unit(queries)):
-        if index is None:
-            some = np.arange(len(ids))
-        else:
-            # Of equal distances the smaller ids are kept, so repeated vectors are cut off in the order of the result.
-            keyed = index.footrule(unit, lists).astype(np.int64) * len(ids) + np.arange(len(ids))
-            some = np.sort(np.argpartition(keyed, wanted)[:wanted])
-        some = some[ids[some] != query]
+        some = np.arange(len(units)) if index is None else np.sort(np.argpartition(index.footrule(unit, lists), wanted)[:wanted])
         score = (units[some] * unit).sum(axis=1)  # the same sum for equal vectors wherever they stand
-        best = np.lexsort((ids[some], -score))[:k]
-        found += zip([query] * len(best), ids[some][best], score[best])
+        if len(some) > k + 1:  # the query's own vector may be one of them
+            least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+            some, score = some[score >= least], score[score >= least]
+        members = [ids[together[begins[i]:min(begins[i + 1], begins[i] + k + 1)]] for i in some]
+        score = np.repeat(score, [len(m) for m in members])
+        members = np.concatenate([np.zeros(0, ids.dtype), *members])
+        others = members != query
+        members, score = members[others], score[others]
+        best = np.lexsort((members, -score))[:k]
+        found.append((members[best], score[best]))
     return found
 
 
+class _Search:
+    """The best ``k`` of the blocks seen so far for each of some queries of one dimension."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray | None, k: int, shortlist: float, lists: int):
+        self.query_ids, self.queries, self.rest = query_ids, queries, (pivots, k, shortlist, lists)
+        self.k, self.held, self.rows = k, [], 0
+        self.best = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.held.append((ids, vectors))
+        self.rows += len(ids)
+        if self.rows >= BLOCK_ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.rows:
+            return
+        ids, vectors = map(np.concatenate, zip(*self.held))
+        self.held, self.rows = [], 0
+        for at in range(0, len(ids), BLOCK_ROWS):
+            for q, (mine, score) in enumerate(search_block(ids[at:at + BLOCK_ROWS], vectors[at:at + BLOCK_ROWS], self.query_ids, self.queries, *self.rest)):
+                mine, score = np.concatenate([self.best[q][0], mine]), np.concatenate([self.best[q][1], score])
+                order = np.lexsort((mine, -score))[:self.k]
+                self.best[q] = mine[order], score[order]
+
+
+def _by_dim(batch: pa.RecordBatch):
+    """(dimension, ids, matrix) of the vectors of a batch."""
+    dims = pyarrow.compute.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False)
+    for dim in np.unique(dims):
+        part = batch.filter(pa.array(dims == dim))
+        yield int(dim), part.column("id").to_numpy(zero_copy_only=False), part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS,
             lists: int = LISTS, shortlist: float = SHORTLIST) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that fulfils ``is_query(id column)``.
@@ -101,29 +158,42 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     ranked each. An empty table or no usable query gives an empty result. Every usable row is
     indexed; in a dimension with fewer than 16 sampled pivots every row is ranked exactly.
     """
+    spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
+    total = rows.count()
+    pivots_of = spark.sparkContext.broadcast(fit_pivots(rows, pivots, total))
     queries = rows.filter(is_query(F.col("id")))
-    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
-    query_blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
-    shared = rows.sparkSession.sparkContext.broadcast(fit_pivots(rows, pivots))
-
-    def search(key, left, right):
-        found = []
-        if left.num_rows and right.num_rows:
-            dim = key[0].as_py()
-            matrix = lambda t: t["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            known = shared.value.get(dim)
-            found = search_block(left["id"].to_numpy(), matrix(left), right["id"].to_numpy(), matrix(right),
-                                 known if known is not None and len(known) >= FEWEST_PIVOTS else None, k, shortlist, lists)
-        columns = list(zip(*found)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(map(int, columns[0]), pa.int64()), "vec_id": pa.array(map(int, columns[1]), pa.int64()),
-                         "score": pa.array(map(float, columns[2]), pa.float64())})
-
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    hashed = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = rows.withColumn("block", hashed(blocks)).withColumn("query_block", each(query_blocks))
-    right = queries.withColumn("query_block", hashed(query_blocks)).withColumn("block", each(blocks))
-    keys = ("dim", "block", "query_block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, struct(FOUND))
+    size = queries.agg(F.sum(F.col("dim").cast("long") * 8)).first()[0] or 0
+    parts = max(1, math.ceil(size / QUERY_BYTES))
+    # Numbered once, so that repeated ids are spread over the parts too.
+    queries = written(queries.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts))), "nearest-queries")
+
+    def searching(shared):
+        def run(batches):
+            searches: dict[int, _Search] = {}
+            for batch in batches:
+                for dim, ids, matrix in _by_dim(batch):
+                    if dim not in searches and dim in shared.value:
+                        known = pivots_of.value.get(dim)
+                        searches[dim] = _Search(*shared.value[dim], known if known is not None and len(known) >= FEWEST_PIVOTS else None, k, shortlist, lists)
+                    if dim in searches:
+                        searches[dim].add(ids, matrix)
+            for search in searches.values():
+                search.flush()
+                counts = [len(ids) for ids, _ in search.best]
+                columns = np.repeat(search.query_ids, counts), np.concatenate([i for i, _ in search.best]), np.concatenate([s for _, s in search.best])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+        return run
+
+    found = None
+    for part in range(parts):
+        some = queries.filter(F.col("part") == part).select("id", "vector").toArrow()  # at most about QUERY_BYTES
+        of_dim: dict[int, list] = {}
+        for batch in some.to_batches():
+            for dim, ids, matrix in _by_dim(batch):
+                of_dim.setdefault(dim, []).append((ids, matrix))
+        shared = spark.sparkContext.broadcast({dim: tuple(map(np.concatenate, zip(*each))) for dim, each in of_dim.items()})
+        here = rows.select("id", "vector").mapInArrow(searching(shared), struct(FOUND))
+        found = here if found is None else found.union(here)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
