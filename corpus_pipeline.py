@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quaymaster.llm import byte_bpe, language_id, minhash, mixing, suffix_repeats
-from quaymaster.llm.common import written
+from quaymaster.llm.common import delete, temporary_tables, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAST_LANGUAGE_SCORE = 0.5
@@ -21,30 +21,12 @@ def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group (five-word shingles, similarity 0.8), and ``spare``.
-
-    Documents without an id are in no group. Rows left with the same words, which are repeated rows and
-    rows without an id, are all listed; ``spare`` is true for all of them but one (with an id if there is
-    such a row), and the next stage leaves the spare rows out. Rows without words are never spare.
-    """
-    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    groups = written(minhash.near_duplicates(rows, percent=80, row_col="row").select("doc_id", "component_id", "row", "words_key"), "near-groups")
-    others = groups.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    left = groups.join(others, "doc_id", "left_anti").filter(F.col("words_key").isNotNull())
-    firsts = left.groupBy("words_key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).filter("n > 1")
-    spares = left.join(firsts, "words_key").filter("row <> first.row").select("row", F.lit(True).alias("spare"))
-    kept = groups.join(others, "doc_id", "left_anti").select("row").join(spares, "row", "left")
-    return rows.join(kept, "row").select(*docs.columns, F.coalesce("spare", F.lit(False)).alias("spare"))
+    """The document with the smallest id of each group (five-word shingles, similarity 0.8), and of rows with the same words one."""
+    return minhash.one_of_each_group(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that start more than once in what is left; no document goes but spare rows.
-
-    A spare row has the words of a row that stays: with both, either text would count as a repeat of the other
-    and both would be emptied. ``n_chars`` follows the text.
-    """
-    if "spare" in docs.columns:
-        docs = docs.filter(~F.col("spare")).drop("spare")
+    """Texts without strings of 400 bytes that start more than once in what is left; no document goes. ``n_chars`` follows the text."""
     shorter = suffix_repeats.without_repeats(docs)
     length = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
     return shorter.select(*[length.alias(c) if c == "n_chars" else c for c in docs.columns])
@@ -76,6 +58,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        # What a stage writes on its way goes when its result is written, and that when the next one's is.
+        with temporary_tables(spark) as paths:
+            docs = written(stage(spark, docs, sf_dir), name)
+            made = paths.pop()
+        if last:
+            delete(spark, last)
+        last = made
     return STAGES[-1][1](spark, docs, sf_dir)
