@@ -20,7 +20,7 @@ from quaymaster.model import TRANSFORMATIONS, Mapping, TargetSchema
 from quaymaster.operators.mapping import ROW_IDX, quoted
 from quaymaster.operators.profile import frequency_table
 from quaymaster.operators.topk import first_k_matching, first_k_values, text_rows
-from quaymaster.session import small_frame
+from quaymaster.session import hold, small_frame
 
 _SEP = "\x1f"
 
@@ -175,8 +175,8 @@ def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: Targ
         rule_rows = rule_rows.join(cast_rates(df, pairs, scope, row_idx), ["source", "transformation"], "left").join(
             column_stats(df, sources, keyed, row_idx), "source", "left")
     # One row per rule. Fixed here because scores and issues both read it.
-    rule_rows = rule_rows.withColumn("cast_score", F.when(
-        F.col("transformation") == "none", 1.0).otherwise(cast_step(F.col("rate")))).persist()
+    rule_rows = hold(rule_rows.withColumn("cast_score", F.when(
+        F.col("transformation") == "none", 1.0).otherwise(cast_step(F.col("rate")))))
 
     null_hit = F.col("required") & (F.col("null_rate") > K.NULL_RATE_WARN)
     not_unique = (F.col("key_use") > 0) & (
@@ -195,7 +195,7 @@ def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: Targ
         stats = _group_stats(df, [g for _, _, g in groups])
         named = small_frame(spark, [(i, n, o, ", ".join(g)) for i, (n, o, g) in enumerate(groups)],
                             "grp int, candidate int, ord int, source string")
-        group_hits = named.join(stats, "grp").filter(F.col("unique_count") < F.col("live")).persist()
+        group_hits = hold(named.join(stats, "grp").filter(F.col("unique_count") < F.col("live")))
         sums = sums.drop("unique_hits").join(
             group_hits.groupBy("candidate").agg(F.count(F.lit(1)).alias("unique_hits")), "candidate", "left")
     w = K.WEIGHTS

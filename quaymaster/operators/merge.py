@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping as MappingABC, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quaymaster import constants as K
 from quaymaster.operators.constraints import _all_set
 from quaymaster.operators.errors import has_errors
 from quaymaster.operators.mapping import ROW_IDX, quoted
+from quaymaster.session import hold
 
 
 def split_null_keys(source: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +59,7 @@ def upsert_by_key(target: DataFrame, source: DataFrame, keys: Sequence[str],
     key = quoted(keys[0]).cast(types[keys[0]])
     typed = source.select(row_idx, F.when(~_all_set(keys), stop).otherwise(key).alias(keys[0]),
                           *[quoted(c).cast(types[c]).alias(c) for c in supplied if c != keys[0]])
-    delta = latest_per_key(typed, keys, row_idx).persist(StorageLevel.MEMORY_AND_DISK)
+    delta = hold(latest_per_key(typed, keys, row_idx))
     delta.count()
 
     hit = delta.select(*keys, *[quoted(c).alias(f"_new_{c}") for c in payload], F.lit(True).alias("_hit"))

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quaymaster import constants as K
@@ -25,6 +24,7 @@ from quaymaster.functions.text import (
 from quaymaster.operators.mapping import ROW_IDX, quoted
 from quaymaster.operators.ranks import select_ranks
 from quaymaster.operators.topk import first_k_matching, first_k_per_group, first_k_values, text_rows
+from quaymaster.session import hold
 
 # One bit of ``flags`` per test: types, patterns, then the two column flags.
 _TYPE_NAMES = [name for name, _ in K.TYPE_TESTS]
@@ -210,7 +210,7 @@ def _ordered_list(rows: DataFrame, item: Column, name: str) -> DataFrame:
 def profile(df: DataFrame, columns: Sequence[str] | None = None, row_idx: str = ROW_IDX) -> DataFrame:
     """A10: the deep profile, one row per column in header order."""
     columns = list(columns or [c for c in df.columns if c != row_idx])
-    freq = frequency_table(df, columns, row_idx).persist(StorageLevel.MEMORY_AND_DISK)
+    freq = hold(frequency_table(df, columns, row_idx))
     stats = numeric_stats(freq)
     odd = outliers(df, freq, stats, columns, row_idx=row_idx)
     top = top_values(freq)

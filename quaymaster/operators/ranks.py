@@ -10,9 +10,10 @@ largest remaining interval is small enough to rank in one window partition.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quaymaster.session import hold
+
 CUTS = 64
 SMALL_ENOUGH = 200_000
 
@@ -24,8 +25,7 @@ def select_ranks(values: DataFrame, wanted: DataFrame, group: str, small: int =
     ``values`` holds ``group, value, cnt`` with distinct values. Returns
     ``group, tag, value``. ``wanted`` has a few rows per group (a proven size).
     """
-    values = values.select(F.col(group).alias("g"), "value", "cnt", F.lit(0).cast("bigint").alias("part")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    values = hold(values.select(F.col(group).alias("g"), "value", "cnt", F.lit(0).cast("bigint").alias("part")))
     targets = wanted.select(F.col(group).alias("g"), "tag", "rank", F.lit(0).cast("bigint").alias("part"))
     while (values.groupBy("g", "part").count().agg(F.max("count")).first()[0] or 0) > small:
         values, targets = _narrow(values, targets, cuts)
@@ -52,7 +52,7 @@ def _narrow(values: DataFrame, targets: DataFrame, cuts: int) -> tuple[DataFrame
         (F.col("part") * cuts + F.col("cell")).alias("next"))
     # Three ranks per group: the list of surviving cells is tiny, and fixing it
     # here keeps the next round from repeating this one for each of its uses.
-    located = located.persist()
+    located = hold(located)
     keep = located.select("g", F.col("next").alias("part")).distinct()
     narrowed = cut.withColumn("part", F.col("part") * cuts + F.col("cell")).drop("cell").join(
         F.broadcast(keep), ["g", "part"])

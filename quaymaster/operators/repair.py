@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from quaymaster import constants as K
+from quaymaster import constants as K, session
 from quaymaster.model import FixRule, TargetColumn, TargetSchema, coerce_text
 from quaymaster.operators.errors import ERROR_TYPE, collect_errors, error
 from quaymaster.operators.mapping import ROW_IDX, quoted
@@ -139,7 +138,7 @@ def repair(rejects: DataFrame, rules: Sequence[FixRule], target: TargetSchema,
     final = [stored(strict_value(texts[n], target.column(n)), target.column(n)).alias(n) for n in names]
     out = work.select(ROW_IDX, *final, bucket.alias("bucket"), F.col("errs").alias("errors"), "fixes",
                       F.col("manual").alias("manual_action"))
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if hold else out
+    return session.hold(out) if hold else out
 
 
 def _raw_input(name: str) -> Column:

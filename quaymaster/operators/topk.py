@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quaymaster.session import hold
+
 BLOCK_ROWS = 8192
 
 
@@ -54,7 +56,7 @@ def first_k_values(df: DataFrame, columns: Sequence[str], wanted: Callable[[Colu
     rows = text_rows(df, columns, row_idx).filter(wanted(F.col("value")))
     hits = rows.groupBy("column", _block("row_idx").alias("block")).agg(F.count(F.lit(1)).alias("n"))
     # At most k blocks per column: a proven size for both broadcasts.
-    blocks = _first_blocks(hits, "column", k).persist()
+    blocks = hold(_first_blocks(hits, "column", k))
     near = df.withColumn("block", _block(row_idx)).join(
         F.broadcast(blocks.select("block").distinct()), "block", "left_semi")
     found = text_rows(near, columns, row_idx, ["block"]).filter(wanted(F.col("value"))).join(

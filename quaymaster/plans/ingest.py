@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from quaymaster import constants as K
@@ -25,6 +24,7 @@ from quaymaster.operators.repair import repair
 from quaymaster.operators.report import bucket_rows, ingestion_report, verdict
 from quaymaster.operators.typed import stored
 from quaymaster.operators.validate import split_valid, validate_output
+from quaymaster.session import hold
 
 
 @dataclass
@@ -64,7 +64,7 @@ def bucketed_rows(df: DataFrame, mapping: Mapping, target: TargetSchema, rules:
     checked = check_constraints(apply_mapping(full, mapping, target, typed=True), target)
     if keys:
         checked = unique_clashes(checked, target, keys, existing)
-    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
+    checked = hold(checked)
     good, bad = split_valid(checked)
     # Good rows take the target's types, as the repaired ones do.
     typed = good.select(ROW_IDX, *[
@@ -122,10 +122,10 @@ def load_reviewed(df: DataFrame, specs: Sequence[Transform], target: TargetSchem
     """(merged table, outcome per batch) with all-or-nothing batches."""
     target.check_keys(keys)
     rows = check_constraints(fit_target(apply_transforms(df, specs, enabled, target), target), target.keyed_by(keys))
-    rows = unique_clashes(rows, target, keys, target_df).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = hold(unique_clashes(rows, target, keys, target_df))
     outcome = batch_outcome(rows, batch)
     # Held and counted so that the planner knows how many batches failed.
-    failed = outcome.filter("failed").select((F.col("batch") - 1).alias("_batch")).persist()
+    failed = hold(outcome.filter("failed").select((F.col("batch") - 1).alias("_batch")))
     failed.count()
     number = F.floor(F.col(ROW_IDX) / batch).cast("bigint")
     loaded = rows.withColumn("_batch", number).join(failed, "_batch", "left_anti").drop("_batch", "errors")

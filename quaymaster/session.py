@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +48,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_held: list[list[DataFrame]] = []  # the frames held within each open :func:`held_frames`
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a frame that several readings share, in memory and then on disk, until the :func:`held_frames` around it ends.
+
+    Outside of one it stays until ``spark.catalog.clearCache()``.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _held:
+        _held[-1].append(df)
+    return df
+
+
+@contextmanager
+def held_frames() -> Iterator[None]:
+    """Frames that operators hold within are released at the end; write what is wanted of the results before."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for df in _held.pop():
+            df.unpersist()
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A DataFrame of caller-supplied metadata (rules, columns), as a literal plan node."""
     fields = T.StructType.fromDDL(schema).fields

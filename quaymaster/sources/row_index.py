@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from quaymaster.session import cut_lineage
+from quaymaster.session import cut_lineage, hold
 
 
 def _offsets(counts: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def with_row_index(df: DataFrame, order_by: Sequence[str] | None = None, name: s
         return _from_splits(df, columns, name)
     tagged = df.select(*columns, F.col("_metadata.file_path").alias("_path"),
                        F.col("_metadata.row_index").alias("_row")).withColumn("_split", F.xxhash64("_path"))
-    counts = tagged.groupBy("_path").agg(F.count(F.lit(1)).alias("_count")).persist()
+    counts = hold(tagged.groupBy("_path").agg(F.count(F.lit(1)).alias("_count")))
     return tagged.join(_offsets(counts, ["_path"]).select("_split", "_offset"), "_split").select(
         (F.col("_offset") + F.col("_row")).alias(name), *columns)
 
@@ -50,8 +50,8 @@ def _from_splits(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     tagged = df.select(*columns, F.col("_metadata.file_path").alias("_path"),
                        F.col("_metadata.file_block_start").alias("_start"),
                        F.monotonically_increasing_id().alias("_id")).withColumn("_split", F.xxhash64("_path", "_start"))
-    counts = tagged.groupBy("_path", "_start").agg(
-        F.count(F.lit(1)).alias("_count"), F.min("_id").alias("_first")).persist()
+    counts = hold(tagged.groupBy("_path", "_start").agg(
+        F.count(F.lit(1)).alias("_count"), F.min("_id").alias("_first")))
     placed = tagged.join(_offsets(counts, ["_path", "_start"]), "_split", "left")
     at = F.col("_id") - F.col("_first")
     # raise_error must stay uncast: an explicit cast of it is folded to NULL.
@@ -71,6 +71,6 @@ def _from_sort(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     fixed = cut_lineage(df.orderBy(*order_by, F.xxhash64(*hashable)) if hashable else df.orderBy(*order_by))
     tagged = fixed.select("*", F.spark_partition_id().alias("_part"),
                           F.monotonically_increasing_id().alias("_id")).withColumn("_split", F.xxhash64("_part"))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"), F.min("_id").alias("_first")).persist()
+    counts = hold(tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"), F.min("_id").alias("_first")))
     return tagged.join(_offsets(counts, ["_part"]), "_split").select(
         (F.col("_offset") + F.col("_id") - F.col("_first")).alias(name), *df.columns)

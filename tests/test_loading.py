@@ -282,3 +282,19 @@ def test_upsert_raises_on_null_keys(spark):
     source = spark.createDataFrame([(0, None, "b")], "row_idx long, id long, name string")
     with pytest.raises(Exception, match="no complete key"):
         upsert_by_key(target, source, ["id"]).collect()
+
+
+def test_held_frames_are_released(spark):
+    from quaymaster.session import held_frames, hold
+
+    with held_frames():
+        a = hold(spark.range(5))
+        with held_frames():
+            b = hold(spark.range(7))
+            assert a.is_cached and b.is_cached and a.count() == 5
+        assert a.is_cached and not b.is_cached
+    assert not a.is_cached
+    with held_frames():
+        done = run_ingestion(spark.createDataFrame([(0, "1", "n")], "row_idx long, id string, name string"), Mapping((MappingRule("id", "id"),)),
+                             TargetSchema("t", (TargetColumn("id", "bigint", nullable=False),), primary_key=("id",)), spark.range(0).select("id"), ["id"])
+        assert done.merged.count() == 1
