@@ -63,11 +63,16 @@ _UNUSUAL = r"[A-Za-z][A-Za-z.]|^\d{1,2}SEP\d{1,2}SEP\d\d(?:\D|\z)|^\d{4}-\d\d\z"
 
 
 def _looked_up(t: Column, separators: str) -> Column:
-    """Numbers for month names, clocks of twelve hours, short years (after ``separators``) and months alone."""
-    x = F.concat(t, F.lit(_TABLE))
-    for pattern, to in _LOOKED_UP:
-        x = F.regexp_replace(x, pattern.replace("SEP", separators), to)
-    return F.when(t.rlike(_UNUSUAL.replace("SEP", separators)), x).otherwise(t)
+    """Numbers for month names, clocks of twelve hours, short years (after ``separators``) and months alone.
+
+    In a lambda, so that the text is worked out once and the chain, which few values go through, stays out of the generated code.
+    """
+    def numbered(v: Column) -> Column:
+        x = F.concat(v, F.lit(_TABLE))
+        for pattern, to in _LOOKED_UP:
+            x = F.regexp_replace(x, pattern.replace("SEP", separators), to)
+        return F.when(v.rlike(_UNUSUAL.replace("SEP", separators)), x).otherwise(v)
+    return F.get(F.transform(F.array(t), numbered), F.lit(0))
 
 
 def _iso_or_blank(c: Column, formats: Sequence[str] | None = None) -> Column:
