@@ -169,3 +169,30 @@ def test_candidate_keys_are_those_of_brute_force(spark):
             assert candidate_keys(df.select(names)).keys == tuple(tuple(names[i] for i in s) for s in want)
     assert candidate_keys(df.limit(0)).keys == ()
     assert candidate_keys(spark.createDataFrame([("a", "bc"), ("ab", "c")], "x string, y string")).keys == (("x",), ("y",))
+
+
+def test_candidate_keys_of_more_rows_than_the_first_look(spark, monkeypatch):
+    """Sets that repeat are refuted by rows with one hash; only what may be a key is counted over all rows."""
+    from itertools import combinations
+
+    from quaymaster.operators import keys
+
+    rows = [(i % 500, i % 7, i // 1000, float(i % 4), None if i == 1999 else i, f"{i % 2}" * 70) for i in range(2000)]
+    rows.append((499, 3, 9, 1.5, 5, "x"))
+    df = spark.createDataFrame(rows, "a long, b int, c long, d double, gap int, t string")
+    want = []
+    for size in (1, 2, 3):
+        for s in combinations(range(6), size):
+            if not any(set(k) <= set(s) for k in want) and 4 not in s and len({tuple(r[i] for i in s) for r in rows}) == len(rows):
+                want.append(s)
+    monkeypatch.setattr(keys, "PROBED", 50)
+    monkeypatch.setattr(keys, "SIEVED", 1000)
+    counted, whole = [], keys._unique
+    monkeypatch.setattr(keys, "_unique", lambda values, s: counted.append(s) or whole(values, s))
+    found = keys.candidate_keys(df)
+    assert want and found.keys == tuple(tuple(df.columns[i] for i in s) for s in want)
+    assert len(counted) < sum(level[3] for level in found.levels[1:])
+    # A single repetition that no other look meets is found among all rows.
+    monkeypatch.setattr(keys, "SIEVED", 1)
+    pairs = [(i, i % 2, 0) for i in range(1000)] + [(999, 1, 1)]
+    assert keys.candidate_keys(spark.createDataFrame(pairs, "a long, b int, c int")).keys == (("a", "c"),)
