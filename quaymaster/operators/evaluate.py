@@ -130,13 +130,20 @@ def _group_stats(df: DataFrame, groups: Sequence[tuple[str, ...]]) -> DataFrame:
 
 @dataclass
 class Evaluation:
-    """One row per candidate in ``scores``; ordered ``issues``, looked for (with examples) when they are first asked for."""
+    """One row per candidate in ``scores``; ordered ``issues``, looked for (with examples) when they are first asked for.
+
+    ``issue_texts`` are the same issues without examples, for which no row of the source is read again.
+    """
     scores: DataFrame
-    find_issues: Callable[[], DataFrame]
+    find_issues: Callable[[bool], DataFrame]
 
     @cached_property
     def issues(self) -> DataFrame:
-        return self.find_issues()
+        return self.find_issues(True)
+
+    @cached_property
+    def issue_texts(self) -> DataFrame:
+        return self.find_issues(False).drop("examples")
 
 
 def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: TargetSchema,
@@ -215,7 +222,7 @@ def evaluate_mappings(df: DataFrame, candidates: Sequence[Mapping], target: Targ
     return Evaluation(
         scores.select(*columns, F.col("criticals").cast("bigint").alias("criticals"),
                       ((F.round("score", 9) >= K.PASS_SCORE) & (F.col("criticals") == 0)).alias("passed")),
-        lambda: order_issues(_issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, group_hits, row_idx)))
+        lambda examples: order_issues(_issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, group_hits, row_idx, examples)))
 
 
 def order_issues(issues: DataFrame) -> DataFrame:
@@ -225,7 +232,7 @@ def order_issues(issues: DataFrame) -> DataFrame:
     return placed.orderBy("candidate", "place")
 
 
-def _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, group_hits, row_idx) -> DataFrame:
+def _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, group_hits, row_idx, examples) -> DataFrame:
     pct = F.format_string("%.0f%%", (1 - F.col("rate")) * 100)
     low_cast = F.col("cast_score") < K.CAST_ISSUE_BELOW
     s = F.lit
@@ -256,7 +263,7 @@ def _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, gro
                            F.inline(flat))
     # Rules that cast badly are few and known by now; only they are searched for examples.
     poor = [(r.source, r.transformation) for r in rule_rows.filter(low_cast).select(
-        "source", "transformation").distinct().collect()]
+        "source", "transformation").distinct().collect()] if examples else []
     empty = F.array().cast("array<string>")
     if poor:
         ex = cast_examples(df, poor, row_idx).withColumnRenamed("source", "column").withColumn("section", F.lit(1))
@@ -281,7 +288,7 @@ def _issues(spark, df, rule_rows, candidates, missing, null_hit, not_unique, gro
 def evaluate_mapping(df: DataFrame, mapping: Mapping, target: TargetSchema, **options) -> Evaluation:
     """V7: score, breakdown, pass flag and issues of one mapping."""
     found = evaluate_mappings(df, [mapping], target, **options)
-    return Evaluation(found.scores.drop("candidate"), lambda: found.issues.drop("candidate"))
+    return Evaluation(found.scores.drop("candidate"), lambda examples: (found.issues if examples else found.issue_texts).drop("candidate"))
 
 
 def best_mapping(df: DataFrame, candidates: Sequence[Mapping], target: TargetSchema, **options) -> DataFrame:

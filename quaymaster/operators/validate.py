@@ -13,6 +13,7 @@ from quaymaster.model import TargetColumn, TargetSchema, Transform
 from quaymaster.operators.errors import Violation, collect_errors, error, has_errors
 from quaymaster.operators.mapping import ROW_IDX, stage_transforms
 from quaymaster.operators.topk import first_k_per_group
+from quaymaster.session import hold
 
 INTEGER_LIMITS = {16: 2**15, 32: 2**31, 64: 2**63}
 
@@ -89,48 +90,53 @@ def _errors_of(column: str) -> Column:
     return F.sum(F.coalesce(F.size(mine), F.lit(0)))
 
 
-def failures_by_column(rows: DataFrame, columns: Sequence[str],
-                       examples: int = K.FAILURE_EXAMPLES) -> DataFrame:
-    """V8: one row per failing column: failures, rate, first examples in row order.
-
-    Counting is one scan with one row of partial results per task; only rows
-    that failed take part in the example ranking.
-    """
-    counts = rows.agg(F.count(F.lit(1)).alias("total_rows"), *[
+def error_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: total, passed and the errors of each column, in one scan with one row of partial results per task."""
+    return rows.agg(F.count(F.lit(1)).alias("total_rows"), F.count(F.when(~has_errors(), 1)).alias("passed_rows"), *[
         _errors_of(c).alias(f"n{i}") for i, c in enumerate(columns)])
+
+
+def failure_rates(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per failing column: failures, total rows and rate."""
     per_column = counts.select("total_rows", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("failures"))
         for i, c in enumerate(columns)]))).filter("failures > 0")
+    return per_column.select("column", "failures", "total_rows", (F.col("failures") / F.col("total_rows")).alias("rate"))
+
+
+def failures_by_column(rows: DataFrame, columns: Sequence[str],
+                       examples: int = K.FAILURE_EXAMPLES, counts: DataFrame | None = None) -> DataFrame:
+    """V8: one row per failing column: failures, rate, first examples in row order.
+
+    ``counts`` are the :func:`error_counts` if known; only rows that failed take part in the example ranking.
+    """
+    per_column = failure_rates(counts or error_counts(rows, columns), columns)
     entries = (rows.filter(has_errors())
                .select(ROW_IDX, F.posexplode("errors").alias("seq", "e"))
                .select(ROW_IDX, "seq", F.col("e.column").alias("column"), "e.code", "e.message", "e.input"))
     first = first_k_per_group(entries, ["column"], examples, [ROW_IDX, "seq"])
     lists = first.groupBy("column").agg(F.array_sort(F.collect_list(
         F.struct("rn", ROW_IDX, "code", "message", "input"))).alias("examples"))
-    return per_column.join(lists, "column").select(
-        "column", "failures", "total_rows",
-        (F.col("failures") / F.col("total_rows")).alias("rate"), "examples")
+    return per_column.join(lists, "column").select("column", "failures", "total_rows", "rate", "examples")
 
 
 def validation_summary(rows: DataFrame, columns: Sequence[str],
-                       limit: float = K.FAILURE_RATE_LIMIT) -> DataFrame:
+                       limit: float = K.FAILURE_RATE_LIMIT, counts: DataFrame | None = None) -> DataFrame:
     """V8: one row: total, passed, pass rate (NULL without rows) and success."""
-    counts = [_errors_of(c) for c in columns]
-    agg = rows.agg(F.count(F.lit(1)).alias("total_rows"),
-                   F.count(F.when(~has_errors(), 1)).alias("passed_rows"),
-                   F.greatest(*counts, F.lit(0), F.lit(0)).alias("worst"))
-    rate = F.try_divide(F.col("worst"), F.col("total_rows"))
-    return agg.select("total_rows", "passed_rows",
+    worst = F.greatest(*[F.col(f"n{i}") for i in range(len(columns))], F.lit(0), F.lit(0))
+    rate = F.try_divide(worst, F.col("total_rows"))
+    return (counts or error_counts(rows, columns)).select("total_rows", "passed_rows",
                       F.try_divide("passed_rows", "total_rows").alias("pass_rate"),
                       F.coalesce(rate <= limit, F.lit(True)).alias("success"))
 
 
 @dataclass
 class Validation:
-    """Lazy results of V8; persist ``rows`` first when both parts are read."""
+    """Lazy results of V8; persist ``rows`` first when ``failures`` and another part are read. ``rates`` are the failures without examples."""
     rows: DataFrame
     failures: DataFrame
     summary: DataFrame
+    rates: DataFrame
 
 
 def validate_output(df: DataFrame, specs: Sequence[Transform], target: TargetSchema,
@@ -138,7 +144,9 @@ def validate_output(df: DataFrame, specs: Sequence[Transform], target: TargetSch
     """V8: every row through every transform, checked against the target."""
     rows = validated_rows(df, specs, target, strict_int, with_checks)
     columns = list({s.target: None for s in specs})
-    return Validation(rows, failures_by_column(rows, columns), validation_summary(rows, columns))
+    # One row, read by all three.
+    counts = hold(error_counts(rows, columns))
+    return Validation(rows, failures_by_column(rows, columns, counts=counts), validation_summary(rows, columns, counts=counts), failure_rates(counts, columns))
 
 
 def failure_summary(failures: DataFrame, min_rate: float = K.SUMMARY_MIN_RATE,

@@ -113,7 +113,7 @@ def review(df: DataFrame, mapping: Mapping, specs: Sequence[Transform], target:
     checked = validate_output(df, specs, target)
     tested = dry_run(apply_transforms(df, specs), target, sample, keys=keys or target.primary_key, existing=existing)
     return Review(scored.scores, scored.issues, checked.failures, checked.summary, tested.summary,
-                  verdict(scored.scores, scored.issues, checked.summary, checked.failures, tested.summary))
+                  verdict(scored.scores, scored.issue_texts, checked.summary, checked.rates, tested.summary))
 
 
 def load_reviewed(df: DataFrame, specs: Sequence[Transform], target: TargetSchema, target_df: DataFrame,

@@ -298,3 +298,23 @@ def test_held_frames_are_released(spark):
         done = run_ingestion(spark.createDataFrame([(0, "1", "n")], "row_idx long, id string, name string"), Mapping((MappingRule("id", "id"),)),
                              TargetSchema("t", (TargetColumn("id", "bigint", nullable=False),), primary_key=("id",)), spark.range(0).select("id"), ["id"])
         assert done.merged.count() == 1
+
+
+def test_verdict_reads_no_examples(spark, monkeypatch):
+    from quaymaster.operators import evaluate, validate
+
+    poor = Mapping((MappingRule("name", "title", confidence=0.95), MappingRule("name", "price", confidence=0.4, transformation="to_number")))
+    df, specs = shop(spark), [s for s in SHOP_SPECS if s.target in ("title", "price")]
+    scored = evaluate_mapping(df, poor, SHOP)
+    assert any(r["examples"] for r in scored.issues.collect())
+    texts = scored.issue_texts
+    assert texts.collect() == scored.issues.drop("examples").collect()
+    want = verdict(scored.scores, scored.issues).collect()
+    checked = validate.validate_output(df, specs, SHOP)
+    assert sorted(map(tuple, checked.rates.collect())) == sorted(map(tuple, checked.failures.drop("examples").collect()))
+
+    def no_rows(*_, **__):
+        raise AssertionError("the source is read for examples")
+    monkeypatch.setattr(evaluate, "cast_examples", no_rows)
+    again = evaluate_mapping(df, poor, SHOP)
+    assert verdict(again.scores, again.issue_texts).collect() == want
