@@ -35,6 +35,11 @@ _BITS.update({f"pattern:{n}": len(_BITS) + i for i, n in enumerate(_PATTERN_NAME
 _BITS["special"] = len(_BITS)
 
 
+_FEATURES = ("flags", "len", "num")
+# All that a text can consist of that reads as a number.
+_NUMBER_CHARACTERS = rf"^(?:(?i:{K.CURRENCY_CODES}){K.SPACE_CLASS}+)?[0-9.eE+\-,{K.CURRENCY_SYMBOLS}{K.SPACE_CLASS[1:-1]}]*\z"
+
+
 def _features(value: Column) -> list[Column]:
     """Tests of one text value, the set ones packed into ``flags``."""
     trimmed = js_trim(value)
@@ -59,24 +64,26 @@ def value_key(value: Column) -> Column:
     return F.when(F.length(value) > K.LONG_TEXT_LENGTH, F.sha2(value, 256)).otherwise(value)
 
 
-def frequency_table(df: DataFrame, columns: Sequence[str], row_idx: str = ROW_IDX, digests: bool = True) -> DataFrame:
+def frequency_table(df: DataFrame, columns: Sequence[str], row_idx: str = ROW_IDX, digests: bool = True,
+                    features: Sequence[str] = _FEATURES) -> DataFrame:
     """``F``: ``column, key, tkey, cnt, first_idx, live, len, num, flags, long``.
 
     ``key`` identifies the untrimmed value and ``tkey`` the trimmed one: the text
     itself, or its digest where the value is ``long``. Partial aggregation leaves at
     most one row per value and task, whatever share of the rows a value holds.
-    ``digests=False`` keys long values by their text too.
+    ``digests=False`` keys long values by their text too. ``features`` names those of len, num and flags that are wanted.
     """
+    wanted = lambda v: {n: x for n, x in zip(_FEATURES, _features(v)) if n in features}
     value = F.col("value")
     long = (F.length(value) > K.LONG_TEXT_LENGTH) if digests else F.lit(False)
     # What a digest cannot tell later is worked out before; it depends on the key, so it may group too.
     early = {"long": long, "key": F.when(long, F.sha2(value, 256)).otherwise(value),
              "long_tkey": F.when(long, value_key(js_trim(value))), "long_live": F.when(long, ~is_nullish(value)),
-             **{f"long_{n}": F.when(long, x) for n, x in zip(("flags", "len", "num"), _features(value))}}
+             **{f"long_{n}": F.when(long, x) for n, x in wanted(value).items()}}
     counted = (text_rows(df, columns, row_idx).select("row_idx", "column", *[x.alias(n) for n, x in early.items()])
                .groupBy("column", *early).agg(F.count(F.lit(1)).alias("cnt"), F.min("row_idx").alias("first_idx")))
     key = F.col("key")
-    late = {"tkey": js_trim(key), "live": ~is_nullish(key), **dict(zip(("flags", "len", "num"), _features(key)))}
+    late = {"tkey": js_trim(key), "live": ~is_nullish(key), **wanted(key)}
     return counted.select("column", "key", "cnt", "first_idx", "long", *[
         F.when(F.col("long"), F.col(f"long_{n}")).otherwise(x).alias(n) for n, x in late.items()])
 
@@ -114,6 +121,26 @@ def basic_stats(freq: DataFrame) -> DataFrame:
         _flag("special").alias("has_special_chars"))
 
 
+def numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those of ``columns`` that :func:`numeric_stats` has rows for: two counts a column, in one scan without a shuffle of values."""
+    counts = []
+    for i, c in enumerate(columns):
+        value = F.coalesce(quoted(c).cast("string"), F.lit(""))
+        live = ~is_nullish(value)
+        # One look at the characters spares most texts the parsing.
+        number = F.when(value.rlike(_NUMBER_CHARACTERS), extract_number(value))
+        counts += [F.count_if(live).alias(f"live{i}"), F.count_if(number.isNotNull() & live).alias(f"n{i}")]
+    found = df.agg(*counts).first()
+    return [c for i, c in enumerate(columns) if found[f"n{i}"] > 0 and found[f"n{i}"] >= K.NUMERIC_SHARE * found[f"live{i}"]]
+
+
+def number_table(df: DataFrame, numeric: Sequence[str], row_idx: str = ROW_IDX) -> DataFrame:
+    """What :func:`numeric_stats` and :func:`outliers` read of the frequency table, of :func:`numeric_columns`."""
+    if not numeric:
+        df, numeric = df.filter(F.lit(False)), [row_idx]
+    return frequency_table(df, numeric, row_idx, features=("num",))
+
+
 def numeric_stats(freq: DataFrame) -> DataFrame:
     """A5: min, max, mean, median, p95 of columns that are numeric enough.
 
@@ -185,7 +212,7 @@ def first_rows_of(df: DataFrame, freq: DataFrame, k: int, columns: Sequence[str]
 
 def outliers(df: DataFrame, freq: DataFrame, stats: DataFrame, columns: Sequence[str],
              k: int = K.OUTLIERS_KEPT, row_idx: str = ROW_IDX) -> DataFrame:
-    """First ``k`` rows whose number is beyond the bounds, in row order."""
+    """First ``k`` rows whose number is beyond the bounds, in row order. Of ``columns`` the numeric ones would do."""
     spread = F.col("p95") - F.col("min")
     outside = (F.col("num") > F.col("p95") + spread * K.OUTLIER_ABOVE) | (
         F.col("num") < F.col("min") - spread * K.OUTLIER_BELOW)
@@ -211,8 +238,9 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, row_idx: str =
     """A10: the deep profile, one row per column in header order."""
     columns = list(columns or [c for c in df.columns if c != row_idx])
     freq = hold(frequency_table(df, columns, row_idx))
-    stats = numeric_stats(freq)
-    odd = outliers(df, freq, stats, columns, row_idx=row_idx)
+    stats = hold(numeric_stats(freq))
+    numeric = {r["column"] for r in stats.select("column").collect()}  # one row a column
+    odd = outliers(df, freq, stats, [c for c in columns if c in numeric] or columns, row_idx=row_idx)
     top = top_values(freq)
     # At most ten values a column: the texts behind the digests among them are read at their first rows.
     named = value_texts(df, top.filter("long").select("column", "rn", "first_idx"), columns, row_idx).select(

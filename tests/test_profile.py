@@ -196,3 +196,19 @@ def test_candidate_keys_of_more_rows_than_the_first_look(spark, monkeypatch):
     monkeypatch.setattr(keys, "SIEVED", 1)
     pairs = [(i, i % 2, 0) for i in range(1000)] + [(999, 1, 1)]
     assert keys.candidate_keys(spark.createDataFrame(pairs, "a long, b int, c int")).keys == (("a", "c"),)
+
+
+def test_numbers_are_counted_in_numeric_columns_only(spark):
+    from quaymaster.operators import profile as p
+
+    rows = [("USD 1,200.5", "12", "a1", "1e3", None, "1" * 250, "usd 7"), (" € 3 ", "x", "7", ".5", "", "2", "USD7"),
+            ("$", "5.", "b", "-4", "null", "3", "+-1"), ("n/a", "1..2", "9", "+6.", "nan", "4", "e5"), ("¥-9", "1e", "1", "0x1", "-", "5", "8")]
+    names = [f"c{i}" for i in range(7)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_idx long, " + ", ".join(f"{n} string" for n in names))
+    stats = {tuple(r) for r in p.numeric_stats(p.frequency_table(df, names)).collect()}
+    numeric = p.numeric_columns(df, names)
+    assert set(numeric) == {r[0] for r in stats} and 2 <= len(numeric) < len(names)
+    table = p.number_table(df, numeric)
+    assert {r["column"] for r in table.collect()} == set(numeric) and not {"flags", "len"} & set(table.columns)
+    assert {tuple(r) for r in p.numeric_stats(table).collect()} == stats
+    assert p.numeric_columns(df.limit(0), names) == [] and p.numeric_stats(p.number_table(df, [])).count() == 0

@@ -131,7 +131,8 @@ GROUP BY "column", live, n HAVING n >= 0.6 * live"""
 
 @query("q_numeric_stats", _stats_sql(LONG_ORDERS) + " UNION ALL " + _stats_sql(LONG_EVENTS))
 def q_numeric_stats(spark, sf):
-    parts = [prof.numeric_stats(_freq(spark, sf, w).persist()) for w in ("orders", "events")]
+    sources = ((indexed_orders(spark, sf), ORDER_COLUMNS), (messy_events(spark, sf), EVENT_COLUMNS))
+    parts = [prof.numeric_stats(prof.number_table(df, prof.numeric_columns(df, columns)).persist()) for df, columns in sources]
     return parts[0].union(parts[1])
 
 
@@ -163,8 +164,10 @@ SELECT "column", rn, row_idx, value FROM (
 
 @query("q_outliers", _outliers_sql(LONG_EVENTS))
 def q_outliers(spark, sf):
-    freq = _freq(spark, sf, "events").persist()
-    odd = prof.outliers(messy_events(spark, sf), freq, prof.numeric_stats(freq), EVENT_COLUMNS)
+    df = messy_events(spark, sf)
+    numeric = prof.numeric_columns(df, EVENT_COLUMNS)
+    freq = prof.number_table(df, numeric).persist()
+    odd = prof.outliers(df, freq, prof.numeric_stats(freq), numeric or EVENT_COLUMNS)
     return odd.select("column", c("rn").cast("bigint").alias("rn"), "row_idx", "value")
 
 
