@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quaymaster.llm.common import blocks, keep_last, struct, temporary_tables, written
+from quaymaster.llm.common import among, blocks, keep_last, marked, struct, temporary_tables, written
 from quaymaster.llm.components import components
 
 SHINGLE = 5
@@ -81,16 +81,16 @@ def sketch_texts(texts: list[str | None], bands: int = BANDS, rows: int = ROWS)
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    more = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    more = [F.col(row_col).alias("row")] if row_col else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
-    carried = ["id", "row"] if row_col else ["id"]
+    carried = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for part in blocks(batches, "text", BLOCK_BYTES):
             n, keys, signatures = sketch_texts(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
                                              names=[*carried, "n_shingles", "words_key", "signature"])
-    return rows.mapInArrow(run, struct(", ".join(f"{c} long" for c in carried) + f", {SKETCH}"))
+    return rows.mapInArrow(run, struct(", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried) + f", {SKETCH}"))
 
 
 def least_matches(similarity: float, miss: float, count: int, batch: int = BATCH) -> dict[int, int]:
@@ -188,7 +188,7 @@ def _across(groups: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return written(docs.join(ids, "id"), "near-texts")
+    return written(among(docs, ids, ["id"]).join(ids, "id"), "near-texts")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
         nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sig_b")), "b")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     alive = written(sized.filter(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent / 100), struct("a long, b long")), "near-pairs")
-    ends = alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct()
+    ends = written(alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct(), "near-ends")
     texts = _texts(docs, ends)
     both = (alive.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     in one component. A row with a null
     id is linked with nothing: its component is null and it is not kept. Repeated rows stay
     repeated. An empty table gives an empty result. Only the named columns are read. With
-    ``row_col``, a number of each row, that number and the key of its words (null without words) follow.
+    ``row_col``, which tells rows apart, that column and the key of its words (null without words) follow.
     """
     sketches = written(sketch(docs, id_col, text_col, row_col), "sketches")
     nodes = written(sketches.filter(F.col("id").isNotNull() & F.col("words_key").isNotNull())
@@ -267,15 +267,41 @@ def one_of_each_group(docs: DataFrame, percent: int = 80, id_col: str = "doc_id"
     while row_col in docs.columns:
         row_col += "_"
     spark = docs.sparkSession
-    rows = written(docs.withColumn(row_col, F.monotonically_increasing_id()), "near-rows")
-    # All that leads to the rows that stay is deleted as soon as these are written.
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
+    text_key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    number = F.monotonically_increasing_id().alias("number")
+    # All that leads to the rows that go is deleted as soon as these are written.
     with temporary_tables(spark) as paths:
-        groups = written(near_duplicates(rows, percent, id_col, text_col, row_col).select(
+        numbered = docs.select(id_col, text_col, F.struct(number, text_key.alias("key")).alias(row_col))
+        groups = written(near_duplicates(numbered, percent, id_col, text_col, row_col).select(
             F.col(id_col).alias("id"), "component_id", F.col(row_col).alias("row"), "words_key"), "near-groups")
         others = groups.filter(F.col("component_id") < F.col("id")).select("id").distinct()
         left = groups.join(others, "id", "left_anti")
         # The least of each class of equal words, as an aggregate: a class of any size is one row per task.
-        firsts = left.filter("words_key is not null").groupBy("words_key").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "row")).alias("first")).select("first.row")
-        kept = written(firsts.union(left.filter("words_key is null").select("row")).withColumnRenamed("row", row_col), "near-kept")
+        firsts = (left.filter("words_key is not null").groupBy("words_key").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "row")).alias("first"))
+                  .select("words_key", F.col("first.id").alias("first_id"), F.col("first.row.key").alias("first_key")))
+        texts = groups.groupBy("id", F.col("row.key").alias("key"), "words_key").agg(F.count("*").alias("times"))
+        first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
+        judged = (texts.join(others.select("id", F.lit(True).alias("other")), "id", "left").join(firsts, "words_key", "left")
+                  .select("id", "key", (F.col("other").isNotNull() | F.coalesce(F.col("words_key").isNotNull() & ~first, F.lit(False))).alias("gone"),
+                          (F.col("words_key").isNotNull() & (F.col("times") > 1)).alias("repeated")))
+        # Texts of which rows go: all of them, or all but one.
+        going = written(judged.filter("gone or repeated").select("id", "key", "gone"), "near-going")
         keep_last(paths)
-    return rows.join(kept, row_col, "left_semi").select(*docs.columns)
+    rows = marked(docs.select(F.col(id_col).cast("long").alias("id"), text_key.alias("key"), number, whole), going, ["id", "key"], "marked")
+    # Only rows that may go are shuffled.
+    parts = [rows.filter("not marked"), _matching(rows.filter("marked"), going, "left_anti")]
+    once = going.filter("not gone").select("id", "key")
+    if not once.isEmpty():
+        repeats = _matching(among(rows.drop("marked"), once, ["id", "key"]), once, "left_semi")
+        parts.append(repeats.groupBy("id", "key").agg(F.min_by("whole", "number").alias("whole")))
+    found = parts[0].select("whole.*")
+    for part in parts[1:]:
+        found = found.union(part.select("whole.*"))
+    return found
+
+
+def _matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows with a text (id, key) of ``keys``, or without; the id may be null."""
+    same = F.col("row.id").eqNullSafe(F.col("of.id")) & (F.col("row.key") == F.col("of.key"))
+    return rows.alias("row").join(keys.alias("of"), same, how)
