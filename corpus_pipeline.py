@@ -10,6 +10,7 @@ from quaymaster.llm.common import delete, temporary_tables, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAST_LANGUAGE_SCORE = 0.5
+PASSAGE_WORDS = 50
 
 
 def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that start more than once in what is left; no document goes. ``n_chars`` follows the text."""
-    shorter = suffix_repeats.without_repeats(docs)
+    """Texts without strings of 400 bytes that start more than once in what is left; no document goes. ``n_chars`` follows the text.
+
+    Passages of 50 words that several texts have, which may be shorter than that, stay only in the one with the smallest id.
+    """
+    shorter = suffix_repeats.without_repeats(docs, passage_words=PASSAGE_WORDS)
     length = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
     return shorter.select(*[length.alias(c) if c == "n_chars" else c for c in docs.columns])
 
